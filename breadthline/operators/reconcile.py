@@ -1,0 +1,274 @@
+"""A second computation of the published fields, and the comparison of both.
+
+The snapshot is built from running window frames; this form folds over one
+sorted array per symbol instead, so that an error in a frame cannot hide in
+both. An array holds one element per session of one symbol.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from breadthline import config as c
+from breadthline.functions.numbers import INFINITY
+
+# Absolute tolerance per reconciled field.
+TIGHT, LOOSE = 1e-12, 1e-9
+TOLERANCES: dict[str, float] = {
+    **{f"R{m}M": TIGHT for m in c.RETURN_MONTHS},
+    "RS_Blend": TIGHT,
+    **{f"MaxDD_{m}M": TIGHT for m in c.RETURN_MONTHS},
+    "Up_Days_Pct_6M": TIGHT,
+    "MA_30W": LOOSE,
+    "MA_30W_Slope_10S_Pct": LOOSE,
+    "MA_10W": LOOSE,
+    "High_52W": TIGHT,
+    "Low_52W": TIGHT,
+    "SMA_150": LOOSE,
+    "SMA_200": LOOSE,
+    "VCP_Contractions": 0.0,
+    "Contraction_Ratio": LOOSE,
+    "Volume_DryUp": LOOSE,
+    "VCP_Pivot": LOOSE,
+    "Volume_Ratio": LOOSE,
+    "U_D": LOOSE,
+    "AvgValue20": LOOSE,
+}
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda total, x: total + x)
+
+
+def _mean(array: Column) -> Column:
+    known = F.array_compact(array)
+    return F.try_divide(_sum(known), F.size(known))
+
+
+def _tail(array: Column, n: int, skip: int = 0) -> Column:
+    """The n newest elements after leaving out the `skip` newest; NULL when too few."""
+    size = F.size(array)
+    return F.when(size >= n + skip, F.slice(array, size - n - skip + 1, F.lit(n)))
+
+
+def _since(array: Column, day: Column) -> Column:
+    """From the last element on or before `day` to the end; NULL when there is none."""
+    position = F.size(F.filter(array, lambda x: x["day"] <= day))
+    return F.when(
+        position > 0,
+        F.slice(array, F.greatest(position, F.lit(1)), F.size(array) - position + 1),
+    )
+
+
+def _pick(array: Column, field: str) -> Column:
+    return F.transform(array, lambda x: x[field])
+
+
+def _known(field: str) -> Column:
+    return F.filter("history", lambda x: x[field].isNotNull())
+
+
+def _deepest_fall(values: Column) -> Column:
+    start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"))
+    folded = F.aggregate(
+        values, start,
+        lambda s, v: F.struct(
+            F.greatest(s["peak"], v).alias("peak"),
+            F.least(s["worst"], F.try_divide(v, F.greatest(s["peak"], v)) - 1.0).alias("worst"),
+        ),
+    )
+    return F.when(F.size(values) >= 2, folded["worst"])
+
+
+def _steps(values: Column) -> Column:
+    size = F.size(values)
+    return F.zip_with(
+        F.slice(values, F.lit(2), F.greatest(size - 1, F.lit(0))),
+        F.slice(values, F.lit(1), F.greatest(size - 1, F.lit(0))), lambda b, a: b - a,
+    )
+
+
+def _month_day(today: dt.date, months: int) -> Column:
+    return F.unix_date(F.add_months(F.lit(today), -months))
+
+
+def independent_fields(
+    bars: DataFrame, boundary: dt.date, min_sessions: int = c.MIN_RANGE_SESSIONS
+) -> DataFrame:
+    today = F.unix_date(F.lit(boundary))
+    row = F.struct(F.unix_date("date").alias("day"), "close", "high", "low", "volume")
+    rows = (
+        bars.filter(F.col("date") <= F.lit(boundary))
+        .groupBy("symbol").agg(F.sort_array(F.collect_list(row)).alias("history"))
+        .withColumns({"closes": _known("close"), "highs": _known("high"), "lows": _known("low")})
+        .filter(F.element_at("closes", -1)["day"] == today)
+    )
+    closes = F.col("closes")
+    now = F.element_at(closes, -1)["close"]
+    fields: dict[str, Column] = {}
+
+    past = {
+        m: F.filter(closes, lambda x, m=m: x["day"] <= _month_day(boundary, m))
+        for m in c.RETURN_MONTHS
+    }
+    full = F.size(past[12]) > 0
+    for m in c.RETURN_MONTHS:
+        reference = F.try_element_at(past[m], F.lit(-1))["close"]
+        fields[f"R{m}M"] = F.when(full, F.try_divide(now, reference) - 1.0)
+    fields["RS_Blend"] = (
+        0.40 * fields["R3M"] + 0.20 * fields["R6M"] + 0.20 * fields["R9M"] + 0.20 * fields["R12M"]
+    )
+    for m in c.RETURN_MONTHS:
+        window = _since(closes, _month_day(boundary, m))
+        fields[f"MaxDD_{m}M"] = _deepest_fall(_pick(window, "close"))
+    steps = _steps(_pick(_since(closes, _month_day(boundary, c.UP_DAYS_MONTHS)), "close"))
+    fields["Up_Days_Pct_6M"] = F.try_divide(
+        F.size(F.filter(steps, lambda d: d > 0)).cast("double"), F.size(steps)
+    ) * 100.0
+
+    def line(upto: Column, weeks: int) -> Column:
+        end = F.element_at(upto, -1)["day"]
+        return _mean(_pick(_since(upto, end - 7 * weeks), "close"))
+
+    long_line = line(closes, c.WEEKS_LONG_MA)
+    earlier = F.when(
+        F.size(closes) > c.SLOPE_SESSIONS,
+        F.slice(closes, F.lit(1), F.greatest(F.size(closes) - c.SLOPE_SESSIONS, F.lit(0))),
+    )
+    before = line(earlier, c.WEEKS_LONG_MA)
+    fields["MA_30W"] = F.when(before.isNotNull() & (before != 0), long_line)
+    fields["MA_30W_Slope_10S_Pct"] = (F.try_divide(long_line, before) - 1.0) * 100.0
+    fields["MA_10W"] = line(closes, c.WEEKS_SHORT_MA)
+
+    for name, series, best in (("High_52W", "highs", F.array_max), ("Low_52W", "lows", F.array_min)):
+        upto = F.col(series)
+        window = _since(upto, F.try_element_at(upto, F.lit(-1))["day"] - 7 * c.WEEKS_RANGE)
+        fields[name] = F.when(
+            F.size(window) >= min_sessions, best(_pick(window, series[:-1]))
+        )
+    for n in (150, 200):
+        fields[f"SMA_{n}"] = _mean(_pick(_tail(closes, n), "close"))
+
+    history = F.col("history")
+    size = c.BASE_SESSIONS // c.BASE_BLOCKS
+    spans = []
+    for b in range(c.BASE_BLOCKS):
+        block = F.when(
+            F.size(history) >= c.BASE_SESSIONS,
+            _tail(history, size, (c.BASE_BLOCKS - 1 - b) * size),
+        )
+        spans.append(F.try_divide(
+            F.array_max(_pick(block, "high")) - F.array_min(_pick(block, "low")),
+            _mean(_pick(block, "close")),
+        ) * 100.0)
+    means_usable = F.lit(True)
+    for b in range(c.BASE_BLOCKS):
+        mean = _mean(_pick(_tail(history, size, b * size), "close"))
+        means_usable = means_usable & F.coalesce(mean != 0, F.lit(False))
+    blocks = F.when(means_usable, F.array(*spans))
+    fields["VCP_Contractions"] = F.coalesce(
+        F.size(F.filter(_steps(blocks), lambda d: d < 0)), F.lit(0)
+    ).cast("double")
+    fields["Contraction_Ratio"] = F.try_divide(blocks[c.BASE_BLOCKS - 1], blocks[0])
+
+    volumes = _pick(history, "volume")
+    recent = _mean(_tail(volumes, c.DRYUP_RECENT))
+    base = _mean(_tail(volumes, c.DRYUP_BASELINE, c.DRYUP_RECENT))
+    fields["Volume_DryUp"] = F.try_divide(recent, base)
+    fields["VCP_Pivot"] = F.array_max(_pick(_tail(history, c.BASE_SESSIONS), "high"))
+
+    newest = F.element_at(volumes, -1)
+    prior = _mean(_tail(volumes, c.VOLUME_BASELINE, 1))
+    fields["Volume_Ratio"] = F.when(
+        prior == 0, F.when(newest > 0, F.lit(INFINITY))
+    ).otherwise(F.try_divide(newest, prior))
+
+    days = _tail(history, c.UD_SESSIONS + 1)
+    moves = F.zip_with(
+        F.slice(days, F.lit(2), F.lit(c.UD_SESSIONS)),
+        F.slice(days, F.lit(1), F.lit(c.UD_SESSIONS)),
+        lambda b, a: F.struct((b["close"] - a["close"]).alias("step"),
+                              F.coalesce(b["volume"], F.lit(0.0)).alias("volume")),
+    )
+    up = _sum(_pick(F.filter(moves, lambda x: x["step"] > 0), "volume"))
+    down = _sum(_pick(F.filter(moves, lambda x: x["step"] < 0), "volume"))
+    fields["U_D"] = F.when(down == 0, F.when(up > 0, F.lit(INFINITY))).otherwise(
+        F.try_divide(up, down)
+    )
+    products = F.array_compact(F.transform(history, lambda x: x["close"] * x["volume"]))
+    fields["AvgValue20"] = _mean(_tail(products, c.VALUE_SESSIONS))
+    return rows.select(F.col("symbol").alias("Symbol"), *[v.alias(n) for n, v in fields.items()])
+
+
+def compare(
+    actual: DataFrame, expected: DataFrame, tolerances: dict[str, float] = TOLERANCES,
+    key: str = "Symbol",
+) -> DataFrame:
+    """One row per key and field: both values and whether they agree.
+
+    Two missing values agree; a column that one side lacks does not.
+    """
+    def side(rows: DataFrame, prefix: str) -> DataFrame:
+        return rows.select(
+            key, F.lit(True).alias(f"{prefix}known"),
+            *[
+                (F.col(n) if n in rows.columns else F.lit(None)).cast("double")
+                .alias(f"{prefix}{n}")
+                for n in tolerances
+            ],
+        )
+
+    both = side(actual, "a_").join(side(expected, "e_"), key, "full_outer")
+    present = {n: n in actual.columns and n in expected.columns for n in tolerances}
+    checks = []
+    for n, tolerance in tolerances.items():
+        a, e = F.col(f"a_{n}"), F.col(f"e_{n}")
+        same = (a.isNull() & e.isNull()) | (a == e) | (F.abs(a - e) <= tolerance)
+        agrees = (
+            F.coalesce(same, F.lit(False)) & F.lit(present[n])
+            & F.col("a_known").isNotNull() & F.col("e_known").isNotNull()
+        )
+        checks.append(F.struct(
+            F.lit(n).alias("field"), a.alias("actual"), e.alias("expected"),
+            agrees.alias("agrees"),
+        ))
+    return both.select(key, F.inline(F.array(*checks)))
+
+
+def mismatches(compared: DataFrame) -> DataFrame:
+    return compared.filter(~F.col("agrees")).drop("agrees")
+
+
+def field_report(compared: DataFrame) -> DataFrame:
+    """Per field: rows compared, rows with a value, and disagreements."""
+    return compared.groupBy("field").agg(
+        F.count(F.lit(1)).alias("compared"),
+        F.count("expected").alias("measured"),
+        F.count_if(~F.col("agrees")).alias("mismatches"),
+    )
+
+
+def panel_disagreements(trends: DataFrame, research: DataFrame) -> DataFrame:
+    """Symbols whose last trend row is not the snapshot row it belongs to."""
+    newest = trends.groupBy("symbol").agg(
+        F.max(F.struct("date", "close", "ma_10w", "ma_30w")).alias("last")
+    )
+    joined = newest.join(
+        research.select(F.col("Symbol").alias("symbol"), "Date", "Close", "MA_10W", "MA_30W"),
+        "symbol",
+    )
+
+    def off(stored: str, reported: str) -> Column:
+        gap = F.abs(F.col(f"last.{stored}") - F.col(reported)) > LOOSE
+        return F.col(reported).isNotNull() & F.coalesce(gap, F.lit(True))
+
+    problems = F.array_compact(F.array(
+        F.when(F.col("last.date") != F.col("Date"), "date"),
+        F.when(off("close", "Close"), "Close"),
+        F.when(off("ma_10w", "MA_10W"), "MA_10W"),
+        F.when(off("ma_30w", "MA_30W"), "MA_30W"),
+    ))
+    return joined.select("symbol", F.explode(problems).alias("field"))
