@@ -54,9 +54,13 @@ def _tail(array: Column, n: int, skip: int = 0) -> Column:
     return F.when(size >= n + skip, F.slice(array, size - n - skip + 1, F.lit(n)))
 
 
+def _until(array: Column, day: Column) -> Column:
+    return F.filter(array, lambda x: x["day"] <= day)
+
+
 def _since(array: Column, day: Column) -> Column:
     """From the last element on or before `day` to the end; NULL when there is none."""
-    position = F.size(F.filter(array, lambda x: x["day"] <= day))
+    position = F.size(_until(array, day))
     return F.when(
         position > 0,
         F.slice(array, F.greatest(position, F.lit(1)), F.size(array) - position + 1),
@@ -110,10 +114,7 @@ def independent_fields(
     now = F.element_at(closes, -1)["close"]
     fields: dict[str, Column] = {}
 
-    past = {
-        m: F.filter(closes, lambda x, m=m: x["day"] <= _month_day(boundary, m))
-        for m in c.RETURN_MONTHS
-    }
+    past = {m: _until(closes, _month_day(boundary, m)) for m in c.RETURN_MONTHS}
     full = F.size(past[12]) > 0
     for m in c.RETURN_MONTHS:
         reference = F.try_element_at(past[m], F.lit(-1))["close"]
