@@ -9,16 +9,109 @@ from breadthline import config as c
 from breadthline.functions.numbers import col, count_true, finite, flag, percent_change
 
 
-def stage(close: Column, line: Column, slope: Column) -> Column:
-    above, rising = close > line, slope > 0.0
-    return (
-        F.when(finite(close).isNull() | finite(line).isNull() | finite(slope).isNull(), None)
-        .when(above & rising, c.STAGE_LABELS["Stage 2"])
-        .when(above, c.STAGE_LABELS["Stage 3"])
-        .when(rising, c.STAGE_LABELS["Stage 1"])
-        .otherwise(c.STAGE_LABELS["Stage 4"])
+def _finite(name: str) -> str:
+    return f"(CASE WHEN NOT isnan({name}) AND abs({name}) <> double('Infinity') THEN {name} END)"
+
+
+def _flag(test: str) -> str:
+    return f"coalesce({test}, false)"
+
+
+def _when_stage(test: str, label: str) -> str:
+    return f"WHEN {test} THEN '{c.STAGE_LABELS[label]}'"
+
+
+# --- rules over published columns, as SQL text ---------------------------------------
+
+STAGE = " ".join([
+    "CASE WHEN Close IS NULL OR MA_30W IS NULL OR MA_30W_Slope_10S_Pct IS NULL THEN NULL",
+    _when_stage("Close > MA_30W AND MA_30W_Slope_10S_Pct > 0", "Stage 2"),
+    _when_stage("Close > MA_30W", "Stage 3"),
+    _when_stage("MA_30W_Slope_10S_Pct > 0", "Stage 1"),
+    f"ELSE '{c.STAGE_LABELS['Stage 4']}' END",
+])
+STAGE_KEY = "trim(split(Stage, ' — ', 2)[0])"
+NEAR_HIGH = _flag(f"Close >= {c.NEAR_HIGH_FRACTION}D * High_52W")
+LINE_AT_HIGH = _flag(
+    f"{_finite('RS_Line_High_52W')} <> 0 AND {_finite('RS_Line')} >= "
+    f"RS_Line_High_52W * {1.0 - c.LINE_HIGH_TOLERANCE}D"
+)
+LINE_LEADS_PRICE = _flag(
+    f"{LINE_AT_HIGH} AND {_finite('Pct_From_52W_High')} <= {c.LINE_PRICE_GAP_PCT}D"
+)
+TIMING = {
+    "Below_50DMA": _flag("Close < SMA_50"),
+    "Ext_Pct": "(try_divide(Close, MA_30W) - 1.0D) * 100.0D",
+    "Extended_20Pct": _flag(f"Close > {c.EXTENDED_MULTIPLE}D * MA_30W"),
+    "Pct_From_52W_High": "(try_divide(Close, High_52W) - 1.0D) * 100.0D",
+}
+TREND = {
+    "Above_MA_30W": _flag("Close > MA_30W"),
+    "Above_MA_10W": _flag("Close > MA_10W"),
+    "MA10W_Above_MA30W": _flag("MA_10W > MA_30W"),
+    "MA_30W_Rising": _flag("MA_30W_Slope_10S_Pct > 0"),
+    "Distribution": _flag(f"U_D < {c.DISTRIBUTION_UD}D"),
+    "Heavy_Distribution": _flag(f"U_D < {c.HEAVY_UD}D"),
+}
+BREAKOUT = _flag(
+    f"{STAGE_KEY} = 'Stage 2' AND {NEAR_HIGH} AND Volume_Ratio > {c.BREAKOUT_VOLUME}D"
+)
+BREAKOUT_CONFIRMED = _flag(f"{BREAKOUT} AND U_D > {c.BREAKOUT_UD}D")
+VCP_SETUP = _flag(
+    f"{_finite('Contraction_Ratio')} <= {c.CONTRACTION_RATIO_MAX}D "
+    f"AND {_finite('Volume_DryUp')} <= {c.DRYUP_MAX}D "
+    f"AND VCP_Contractions >= {c.MIN_CONTRACTIONS} AND {STAGE_KEY} = 'Stage 2' "
+    f"AND {_finite('Base_Depth_Pct')} <= {c.MAX_BASE_DEPTH_PCT}D"
+)
+# The eight criteria; a missing input fails only its own.
+TEMPLATE = dict(zip(c.TEMPLATE_FLAGS, (_flag(test) for test in (
+    "Close > SMA_150 AND Close > SMA_200",
+    "SMA_150 > SMA_200",
+    "SMA_200_Rising",
+    "SMA_50 > SMA_150 AND SMA_50 > SMA_200",
+    "Close > SMA_50",
+    f"Close >= Low_52W * {c.TEMPLATE_LOW_MULTIPLE}D",
+    f"Close >= High_52W * {c.TEMPLATE_HIGH_FRACTION}D",
+    f"RS_Score >= {c.TEMPLATE_MIN_RS}D",
+)), strict=True))
+# How ready a base looks, 0 to 5; defined for Stage 1 only.
+STAGE1_READINESS = f"CASE WHEN {STAGE_KEY} = 'Stage 1' THEN double(" + " + ".join(
+    f"int({_flag(test)})" for test in (
+        f"{_finite('MA_30W_Slope_10S_Pct')} >= {c.READY_SLOPE_MIN}D",
+        f"{_finite('RS_Score')} >= {c.READY_RS_MIN}D",
+        f"{_finite('Contraction_Ratio')} <= {c.READY_CONTRACTION_MAX}D",
+        f"{_finite('Volume_DryUp')} <= {c.READY_DRYUP_MAX}D",
+        f"{_finite('Close')} > {_finite('MA_10W')}",
     )
+) + ") END"
+# One of nine labels; the first rule that applies wins. An infinite U/D is no distribution.
+ACTION = f"""CASE
+  WHEN {STAGE_KEY} = 'Stage 4' THEN 'SELL'
+  WHEN {STAGE_KEY} = 'Stage 3' AND RS_Score < {c.RS_ADEQUATE} THEN 'SELL'
+  WHEN {STAGE_KEY} = 'Stage 3' THEN 'REDUCE'
+  WHEN {STAGE_KEY} = 'Stage 1' AND RS_Score >= {c.RS_LEADER} THEN 'WATCH★'
+  WHEN {STAGE_KEY} = 'Stage 1' AND RS_Score >= {c.RS_ADEQUATE} THEN 'WATCH'
+  WHEN {STAGE_KEY} = 'Stage 1' THEN 'AVOID'
+  WHEN Stage IS NULL OR {STAGE_KEY} <> 'Stage 2' THEN 'WAIT'
+  WHEN {_finite('U_D')} < {c.DISTRIBUTION_UD} THEN 'REDUCE'
+  WHEN RS_Score IS NULL OR RS_Score < {c.RS_ADEQUATE} THEN 'WAIT'
+  WHEN RS_Score < {c.RS_LEADER} AND Breakout THEN 'WAIT'
+  WHEN RS_Score < {c.RS_LEADER} THEN 'HOLD'
+  WHEN Extended_20Pct OR Below_50DMA THEN 'WAIT'
+  WHEN Breakout_Confirmed THEN 'BUY★'
+  WHEN Breakout THEN 'BUY'
+  ELSE 'HOLD' END"""
+
+
+def action() -> Column:
+    return F.expr(ACTION)
+
 
+def stage() -> Column:
+    return F.expr(STAGE)
+
+
+# --- rules over any column ------------------------------------------------------------
 
 def stage_key(label: str | Column) -> Column:
     """'Stage 2 — Advancing' to 'Stage 2'; NULL stays NULL."""
@@ -37,10 +130,6 @@ def in_stage(label: str | Column, n: int) -> Column:
     return flag(stage_key(label) == f"Stage {n}")
 
 
-def near_high(close: Column, high: Column) -> Column:
-    return flag(close >= c.NEAR_HIGH_FRACTION * high)
-
-
 def ud_class(ud: str | Column) -> Column:
     ud = col(ud)
     return (
@@ -53,116 +142,6 @@ def ud_class(ud: str | Column) -> Column:
     )
 
 
-def breakout() -> Column:
-    return flag(
-        in_stage("Stage", 2)
-        & near_high(F.col("Close"), F.col("High_52W"))
-        & (F.col("Volume_Ratio") > c.BREAKOUT_VOLUME)
-    )
-
-
-def breakout_confirmed() -> Column:
-    return flag(breakout() & (F.col("U_D") > c.BREAKOUT_UD))
-
-
-def timing_columns() -> dict[str, Column]:
-    close, line, high = F.col("Close"), F.col("MA_30W"), F.col("High_52W")
-    return {
-        "Below_50DMA": flag(close < F.col("SMA_50")),
-        "Ext_Pct": percent_change(close, line),
-        "Extended_20Pct": flag(close > c.EXTENDED_MULTIPLE * line),
-        "Pct_From_52W_High": percent_change(close, high),
-    }
-
-
-def trend_flags() -> dict[str, Column]:
-    close, long_line, short_line = F.col("Close"), F.col("MA_30W"), F.col("MA_10W")
-    return {
-        "Above_MA_30W": flag(close > long_line),
-        "Above_MA_10W": flag(close > short_line),
-        "MA10W_Above_MA30W": flag(short_line > long_line),
-        "MA_30W_Rising": flag(F.col("MA_30W_Slope_10S_Pct") > 0.0),
-        "Distribution": flag(F.col("U_D") < c.DISTRIBUTION_UD),
-        "Heavy_Distribution": flag(F.col("U_D") < c.HEAVY_UD),
-        "Breakout": breakout(),
-        "Breakout_Confirmed": breakout_confirmed(),
-    }
-
-
-def template_flags() -> dict[str, Column]:
-    """The eight trend-template criteria; a missing input fails only its own."""
-    close, sma50, sma150, sma200 = (
-        finite(n) for n in ("Close", "SMA_50", "SMA_150", "SMA_200")
-    )
-    tests = (
-        (close > sma150) & (close > sma200),
-        sma150 > sma200,
-        F.col("SMA_200_Rising"),
-        (sma50 > sma150) & (sma50 > sma200),
-        close > sma50,
-        close >= finite("Low_52W") * c.TEMPLATE_LOW_MULTIPLE,
-        close >= finite("High_52W") * c.TEMPLATE_HIGH_FRACTION,
-        finite("RS_Score") >= c.TEMPLATE_MIN_RS,
-    )
-    return {name: flag(test) for name, test in zip(c.TEMPLATE_FLAGS, tests)}
-
-
-def line_at_high(value: str | Column = "RS_Line", high: str | Column = "RS_Line_High_52W") -> Column:
-    value, high = finite(value), finite(high)
-    return flag((high != 0) & (value >= high * (1.0 - c.LINE_HIGH_TOLERANCE)))
-
-
-def line_leads_price() -> Column:
-    return flag(line_at_high() & (finite("Pct_From_52W_High") <= c.LINE_PRICE_GAP_PCT))
-
-
-def vcp_setup() -> Column:
-    return flag(
-        (finite("Contraction_Ratio") <= c.CONTRACTION_RATIO_MAX)
-        & (finite("Volume_DryUp") <= c.DRYUP_MAX)
-        & (F.col("VCP_Contractions") >= c.MIN_CONTRACTIONS)
-        & in_stage("Stage", 2)
-        & (finite("Base_Depth_Pct") <= c.MAX_BASE_DEPTH_PCT)
-    )
-
-
-def stage1_readiness() -> Column:
-    """How ready a base looks, 0 to 5; defined for Stage 1 only."""
-    count = count_true([
-        finite("MA_30W_Slope_10S_Pct") >= c.READY_SLOPE_MIN,
-        finite("RS_Score") >= c.READY_RS_MIN,
-        finite("Contraction_Ratio") <= c.READY_CONTRACTION_MAX,
-        finite("Volume_DryUp") <= c.READY_DRYUP_MAX,
-        finite("Close") > finite("MA_10W"),
-    ])
-    return F.when(in_stage("Stage", 1), count.cast("double"))
-
-
-def action() -> Column:
-    """One of nine labels; the first rule that applies wins."""
-    key, rs, ud = stage_key("Stage"), finite("RS_Score"), finite("U_D")
-    leader, adequate = flag(rs >= c.RS_LEADER), flag(rs >= c.RS_ADEQUATE)
-    has = {n: flag(F.col(n)) for n in
-           ("Breakout", "Breakout_Confirmed", "Extended_20Pct", "Below_50DMA")}
-    return (
-        F.when(key == "Stage 4", "SELL")
-        .when((key == "Stage 3") & (rs < c.RS_ADEQUATE), "SELL")
-        .when(key == "Stage 3", "REDUCE")
-        .when((key == "Stage 1") & leader, "WATCH★")
-        .when((key == "Stage 1") & adequate, "WATCH")
-        .when(key == "Stage 1", "AVOID")
-        .when(key.isNull() | (key != "Stage 2"), "WAIT")
-        .when(ud < c.DISTRIBUTION_UD, "REDUCE")
-        .when(~adequate, "WAIT")
-        .when(~leader & has["Breakout"], "WAIT")
-        .when(~leader, "HOLD")
-        .when(has["Extended_20Pct"] | has["Below_50DMA"], "WAIT")
-        .when(has["Breakout_Confirmed"], "BUY★")
-        .when(has["Breakout"], "BUY")
-        .otherwise("HOLD")
-    )
-
-
 def extension_band(ext: str | Column = "Ext_Pct") -> Column:
     ext = finite(ext)
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breadthline import config as c
@@ -10,6 +10,7 @@ from breadthline.functions import rules
 from breadthline.functions.numbers import flag, number, share_pct
 from breadthline.operators.indicators import trend_frame
 from breadthline.operators.ranking import exact_medians
+from breadthline.session import land
 
 
 def count_flag(rows: DataFrame, name: str) -> Column:
@@ -76,8 +77,6 @@ def breadth_history(
 
     `trends` has columns symbol, date, close, ma_10w, ma_30w.
     """
-    from pyspark.sql import Window
-
     recent = trends.withColumn(
         "_recency",
         F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))),
@@ -99,7 +98,8 @@ def breadth_history(
 
 def breadth_history_from_bars(bars: DataFrame, sessions: int = c.BREADTH_SESSIONS,
                               min_coverage: float = 0.5) -> DataFrame:
-    return breadth_history(trend_frame(bars, c.PANEL_SESSIONS), sessions, min_coverage)
+    trends = land(trend_frame(bars, c.PANEL_SESSIONS), "trends")
+    return breadth_history(trends, sessions, min_coverage)
 
 
 def with_benchmark_column(history: DataFrame, benchmark: DataFrame, ticker: str) -> DataFrame:
@@ -113,6 +113,7 @@ def industry_leadership(rows: DataFrame, industry: str = "Industry") -> DataFram
 
     RS has at most 99 values, so its exact median keeps a table of 99 counts
     per group; the median return has no such bound and is bracketed instead.
+    `rows` is read three times, so give a written snapshot.
     """
     work = rows.withColumn(
         "_industry", F.coalesce(F.col(industry).cast("string"), F.lit("Unclassified"))

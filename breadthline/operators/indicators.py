@@ -14,12 +14,11 @@ the number of trades behind it, so one symbol always fits in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breadthline import config as c
 from breadthline.functions import rules
-from breadthline.functions.numbers import INFINITY, percent_change
 from breadthline.functions.windows import by_symbol, newer, newest_first, oldest_first, so_far, up_to_here
 
 SERIES = ("close", "high", "low", "line")
@@ -42,32 +41,28 @@ def with_benchmark(bars: DataFrame, benchmark: DataFrame | None) -> DataFrame:
 
 def session_facts(bars: DataFrame) -> DataFrame:
     """Per row: its position from the end and its newer neighbour, per series."""
-    facts = bars.withColumn("day", F.unix_date("date"))
-    if "low" not in bars.columns:
-        facts = facts.withColumn("low", F.lit(None).cast("double"))
-    facts = facts.withColumn("value", F.col("close") * F.col("volume"))
-    known = {s: F.when(F.col(s).isNotNull(), F.col("day")) for s in SERIES}
+    low = "low" if "low" in bars.columns else "CAST(NULL AS double) AS low"
+    facts = bars.selectExpr(
+        "symbol", "date", "close", "high", low, "volume", "line",
+        "unix_date(date) AS day", "close * volume AS value",
+    )
     first_layer = {
         "pos": F.row_number().over(newest_first()) - 1,
+        "prior_row_close": F.lead("close").over(newest_first()),
+        "newer_close": F.last("close", ignorenulls=True).over(newer()),
         "close_pos": F.count("close").over(so_far()) - 1,
         "value_pos": F.count("value").over(so_far()) - 1,
-        "newer_close": F.last("close", ignorenulls=True).over(newer()),
         "trough": F.min("close").over(so_far()),
-        "prior_row_close": F.lead("close").over(newest_first()),
     }
     for s in SERIES:
-        first_layer[f"{s}_end"] = F.first(known[s], ignorenulls=True).over(so_far())
-        first_layer[f"{s}_newer"] = F.last(known[s], ignorenulls=True).over(newer())
-    facts = facts.withColumns(first_layer).withColumn(
-        "true_range",
-        F.greatest(
-            F.col("high") - F.col("low"),
-            F.abs(F.col("high") - F.col("prior_row_close")),
-            F.abs(F.col("low") - F.col("prior_row_close")),
-        ),
-    )
-    slope_row = F.when(
-        F.col("close").isNotNull() & (F.col("close_pos") == c.SLOPE_SESSIONS), F.col("day")
+        known = F.expr(f"CASE WHEN {s} IS NOT NULL THEN day END")
+        first_layer[f"{s}_end"] = F.first(known, ignorenulls=True).over(so_far())
+        first_layer[f"{s}_newer"] = F.last(known, ignorenulls=True).over(newer())
+    facts = facts.withColumns(first_layer).withColumn("true_range", F.expr(
+        "greatest(high - low, abs(high - prior_row_close), abs(low - prior_row_close))"
+    ))
+    slope_row = F.expr(
+        f"CASE WHEN close IS NOT NULL AND close_pos = {c.SLOPE_SESSIONS} THEN day END"
     )
     return facts.withColumns({
         "tr_pos": F.count("true_range").over(so_far()) - 1,
@@ -75,212 +70,171 @@ def session_facts(bars: DataFrame) -> DataFrame:
     })
 
 
-def _months_back(end: Column, months: int) -> Column:
-    return F.unix_date(F.add_months(F.date_from_unix_date(end), -months))
+# The expressions below are SQL text: a hundred of them as Column calls would spend
+# more time between Python and the JVM than a small snapshot takes to compute.
+
+def _months_back(months: int, end: str = "close_end") -> str:
+    return f"unix_date(add_months(date_from_unix_date({end}), -{months}))"
 
 
-def _inside(series: str, since: Column) -> Column:
+def _inside(series: str, since: str) -> str:
     """Row belongs to the as-of window that starts at the last session on or before `since`."""
-    following = F.col(f"{series}_newer")
-    return F.col(series).isNotNull() & (following.isNull() | (following > since))
+    return f"{series} IS NOT NULL AND ({series}_newer IS NULL OR {series}_newer > {since})"
 
 
-def _latest(n: int, position: str = "pos", skip: int = 0) -> Column:
-    return F.col(position).between(skip, skip + n - 1)
+def _latest(n: int, position: str = "pos", skip: int = 0) -> str:
+    return f"{position} BETWEEN {skip} AND {skip + n - 1}"
 
 
-def _only(condition: Column, value: str | Column) -> Column:
-    return F.when(condition, F.col(value) if isinstance(value, str) else value)
+def _agg(function: str, value: str, condition: str) -> str:
+    return f"{function}(CASE WHEN {condition} THEN {value} END)"
 
 
-def indicator_inputs(facts: DataFrame) -> DataFrame:
-    """One row per symbol: every conditional aggregate the indicators need."""
-    end = F.col("close_end")
-    has_close = F.col("close").isNotNull()
-    step = F.col("close") - F.col("prior_row_close")
-    in_ud = _latest(c.UD_SESSIONS)
+def _input_expressions() -> dict[str, str]:
+    long_days, short_days = 7 * c.WEEKS_LONG_MA, 7 * c.WEEKS_SHORT_MA
     base = _latest(c.BASE_SESSIONS)
-    prior_ma = (
-        _inside("close", F.col("slope_day") - 7 * c.WEEKS_LONG_MA)
-        & (F.col("close_pos") >= c.SLOPE_SESSIONS)
-    )
-    aggregates = {
-        "close_day": F.max("close_end"),
-        "first_close_day": F.min(_only(has_close, "day")),
-        "slope_day": F.max("slope_day"),
-        "rows": F.count(F.lit(1)),
-        "closes": F.count("close"),
-        "values": F.count("value"),
-        "close_now": F.max(_only(F.col("day") == end, "close")),
-        "volume_now": F.max(_only(F.col("pos") == 0, "volume")),
-        "ma_long": F.avg(_only(_inside("close", end - 7 * c.WEEKS_LONG_MA), "close")),
-        "ma_long_prior": F.avg(_only(prior_ma, "close")),
-        "ma_short": F.avg(_only(_inside("close", end - 7 * c.WEEKS_SHORT_MA), "close")),
-        "volume_base": F.avg(_only(_latest(c.VOLUME_BASELINE, skip=1), "volume")),
-        "up_volume": F.sum(_only(in_ud & (step > 0), "volume")),
-        "down_volume": F.sum(_only(in_ud & (step < 0), "volume")),
-        "value_mean": F.avg(_only(_latest(c.VALUE_SESSIONS, "value_pos"), "value")),
-        "tr_rows": F.count("true_range"),
-        "tr_mean": F.avg(_only(_latest(c.ATR_SESSIONS, "tr_pos"), "true_range")),
-        "dry_recent": F.avg(_only(_latest(c.DRYUP_RECENT), "volume")),
-        "dry_base": F.avg(_only(_latest(c.DRYUP_BASELINE, skip=c.DRYUP_RECENT), "volume")),
-        "base_high": F.max(_only(base, "high")),
-        "base_low": F.min(_only(base, "low")),
-        "lows": F.count("low"),
+    in_ud = _latest(c.UD_SESSIONS)
+    prior_ma = f"{_inside('close', f'slope_day - {long_days}')} AND close_pos >= {c.SLOPE_SESSIONS}"
+    out = {
+        "close_day": "max(close_end)",
+        "first_close_day": _agg("min", "day", "close IS NOT NULL"),
+        "slope_day": "max(slope_day)",
+        "rows": "count(1)",
+        "closes": "count(close)",
+        "values": "count(value)",
+        "close_now": _agg("max", "close", "day = close_end"),
+        "volume_now": _agg("max", "volume", "pos = 0"),
+        "ma_long": _agg("avg", "close", _inside("close", f"close_end - {long_days}")),
+        "ma_long_prior": _agg("avg", "close", prior_ma),
+        "ma_short": _agg("avg", "close", _inside("close", f"close_end - {short_days}")),
+        "volume_base": _agg("avg", "volume", _latest(c.VOLUME_BASELINE, skip=1)),
+        "up_volume": _agg("sum", "volume", f"{in_ud} AND close - prior_row_close > 0"),
+        "down_volume": _agg("sum", "volume", f"{in_ud} AND close - prior_row_close < 0"),
+        "value_mean": _agg("avg", "value", _latest(c.VALUE_SESSIONS, "value_pos")),
+        "tr_rows": "count(true_range)",
+        "tr_mean": _agg("avg", "true_range", _latest(c.ATR_SESSIONS, "tr_pos")),
+        "dry_recent": _agg("avg", "volume", _latest(c.DRYUP_RECENT)),
+        "dry_base": _agg("avg", "volume", _latest(c.DRYUP_BASELINE, skip=c.DRYUP_RECENT)),
+        "base_high": _agg("max", "high", base),
+        "base_low": _agg("min", "low", base),
     }
     for n in (50, 150, 200):
-        aggregates[f"sma_{n}"] = F.avg(_only(has_close & _latest(n, "close_pos"), "close"))
-    aggregates["sma_200_prior"] = F.avg(
-        _only(has_close & _latest(200, "close_pos", c.SMA_RISING_SESSIONS), "close")
+        out[f"sma_{n}"] = _agg("avg", "close", _latest(n, "close_pos"))
+    out["sma_200_prior"] = _agg(
+        "avg", "close", _latest(200, "close_pos", c.SMA_RISING_SESSIONS)
     )
     for m in c.RETURN_MONTHS:
-        since = _months_back(end, m)
-        inside = _inside("close", since)
-        aggregates[f"reference_{m}"] = F.max(_only(inside & (F.col("day") <= since), "close"))
-        aggregates[f"fall_{m}"] = F.min(
-            _only(inside, F.try_divide("trough", "close") - 1.0)
-        )
-    half_year = _inside("close", _months_back(end, c.UP_DAYS_MONTHS))
-    aggregates["half_year_rows"] = F.count(_only(half_year, F.lit(1)))
-    aggregates["half_year_ups"] = F.count(
-        _only(half_year & (F.col("newer_close") > F.col("close")), F.lit(1))
-    )
-    for s, extreme in (("high", F.max), ("low", F.min), ("line", F.max)):
-        s_end = F.col(f"{s}_end")
-        inside = _inside(s, s_end - 7 * c.WEEKS_RANGE)
-        aggregates[f"{s}_day"] = F.max(s_end)
-        aggregates[f"first_{s}_day"] = F.min(_only(F.col(s).isNotNull(), "day"))
-        aggregates[f"range_{s}"] = extreme(_only(inside, s))
-        aggregates[f"range_{s}_rows"] = F.count(_only(inside, F.lit(1)))
-    aggregates["line_now"] = F.max(_only(F.col("day") == F.col("line_end"), "line"))
+        inside = _inside("close", _months_back(m))
+        out[f"reference_{m}"] = _agg("max", "close", f"{inside} AND day <= {_months_back(m)}")
+        out[f"fall_{m}"] = _agg("min", "try_divide(trough, close) - 1.0D", inside)
+    half_year = _inside("close", _months_back(c.UP_DAYS_MONTHS))
+    out["half_year_rows"] = f"count_if({half_year})"
+    out["half_year_ups"] = f"count_if({half_year} AND newer_close > close)"
+    for s, extreme in (("high", "max"), ("low", "min"), ("line", "max")):
+        inside = _inside(s, f"{s}_end - {7 * c.WEEKS_RANGE}")
+        out[f"{s}_day"] = f"max({s}_end)"
+        out[f"first_{s}_day"] = _agg("min", "day", f"{s} IS NOT NULL")
+        out[f"range_{s}"] = _agg(extreme, s, inside)
+        out[f"range_{s}_rows"] = f"count_if({inside})"
+    out["line_now"] = _agg("max", "line", "day = line_end")
     size = c.BASE_SESSIONS // c.BASE_BLOCKS
     for b in range(c.BASE_BLOCKS):
         block = _latest(size, skip=(c.BASE_BLOCKS - 1 - b) * size)
-        aggregates[f"block_{b}_high"] = F.max(_only(block, "high"))
-        aggregates[f"block_{b}_low"] = F.min(_only(block, "low"))
-        aggregates[f"block_{b}_mean"] = F.avg(_only(block, "close"))
-    return facts.groupBy("symbol").agg(*[a.alias(n) for n, a in aggregates.items()])
-
-
-def _ratio_or_infinity(part: Column, base: Column) -> Column:
-    """part/base; over a zero base a positive part is infinite and zero is undefined."""
-    return F.when(base == 0, F.when(part > 0, F.lit(INFINITY))).otherwise(F.try_divide(part, base))
-
-
-def _returns() -> dict[str, Column]:
-    complete = F.lit(True)
-    for m in c.RETURN_MONTHS:
-        complete = complete & F.col(f"reference_{m}").isNotNull()
-    raw = {m: F.try_divide("close_now", f"reference_{m}") - 1.0 for m in c.RETURN_MONTHS}
-    blend = None
-    for m in c.RETURN_MONTHS:
-        part = c.BLEND_WEIGHTS[m] * raw[m]
-        blend = part if blend is None else blend + part
-    out = {f"R{m}M": F.when(complete, raw[m]) for m in c.RETURN_MONTHS}
-    out["RS_Blend"] = F.when(complete, blend)
+        out[f"block_{b}_high"] = _agg("max", "high", block)
+        out[f"block_{b}_low"] = _agg("min", "low", block)
+        out[f"block_{b}_mean"] = _agg("avg", "close", block)
     return out
 
 
-def _reaches_back(series: str, end: Column, days: int) -> Column:
-    return F.col(f"first_{series}_day") <= end - days
-
+def indicator_inputs(facts: DataFrame) -> DataFrame:
+    """One row per symbol: every conditional aggregate the indicators need.
 
-def _path() -> dict[str, Column]:
-    out = {}
-    for m in c.RETURN_MONTHS:
-        reaches = F.col("first_close_day") <= _months_back(F.col("close_day"), m)
-        out[f"MaxDD_{m}M"] = F.when(reaches, F.col(f"fall_{m}"))
-    reaches = F.col("first_close_day") <= _months_back(F.col("close_day"), c.UP_DAYS_MONTHS)
-    steps = F.col("half_year_rows") - 1
-    out["Up_Days_Pct_6M"] = F.when(
-        reaches, F.try_divide(F.col("half_year_ups").cast("double"), steps.cast("double")) * 100.0
+    Position columns count only rows that have the value: a row without a close
+    repeats the position of the newer row, and its NULL close enters no average.
+    """
+    return facts.groupBy("symbol").agg(
+        *[F.expr(e).alias(n) for n, e in _input_expressions().items()]
     )
-    return out
 
 
-def _trend() -> dict[str, Column]:
-    days = 7 * c.WEEKS_LONG_MA
-    usable = (
-        _reaches_back("close", F.col("close_day"), days)
-        & _reaches_back("close", F.col("slope_day"), days)
-        & (F.col("ma_long_prior") != 0)
+def _ratio_or_infinity(part: str, base: str) -> str:
+    """part/base; over a zero base a positive part is infinite and zero is undefined."""
+    return (
+        f"CASE WHEN {base} = 0 THEN CASE WHEN {part} > 0 THEN double('Infinity') END "
+        f"ELSE try_divide({part}, {base}) END"
     )
-    line = F.when(usable, F.col("ma_long"))
-    slope = F.when(usable, percent_change(F.col("ma_long"), F.col("ma_long_prior")))
-    return {
-        "MA_30W": line,
-        "MA_30W_Slope_10S_Pct": slope,
-        "Stage": rules.stage(F.col("close_now"), line, slope),
-        "MA_10W": F.when(
-            _reaches_back("close", F.col("close_day"), 7 * c.WEEKS_SHORT_MA), F.col("ma_short")
-        ),
-    }
 
 
-def _range(series: str, min_sessions: int) -> Column:
-    enough = (F.col(f"range_{series}_rows") >= min_sessions) & _reaches_back(
-        series, F.col(f"{series}_day"), 7 * c.WEEKS_RANGE
-    )
-    return F.when(enough, F.col(f"range_{series}"))
+def _reaches_back(series: str, end: str, days: int) -> str:
+    return f"first_{series}_day <= {end} - {days}"
 
 
-def _volume() -> dict[str, Column]:
-    up, down = (F.coalesce(F.col(n), F.lit(0.0)) for n in ("up_volume", "down_volume"))
-    return {
-        "Volume_Ratio": F.when(
-            F.col("rows") > c.VOLUME_BASELINE,
-            _ratio_or_infinity(F.col("volume_now"), F.col("volume_base")),
-        ),
-        "U_D": F.when(F.col("rows") > c.UD_SESSIONS, _ratio_or_infinity(up, down)),
-        "AvgValue20": F.when(F.col("values") >= c.VALUE_SESSIONS, F.col("value_mean")),
-    }
+def _range(series: str, min_sessions: int) -> str:
+    reaches = _reaches_back(series, f"{series}_day", 7 * c.WEEKS_RANGE)
+    return f"CASE WHEN range_{series}_rows >= {min_sessions} AND {reaches} THEN range_{series} END"
 
 
-def _averages() -> dict[str, Column]:
-    out = {f"SMA_{n}": F.when(F.col("closes") >= n, F.col(f"sma_{n}")) for n in (50, 150, 200)}
-    rising = (F.col("closes") >= 200 + c.SMA_RISING_SESSIONS) & (
-        F.col("sma_200") > F.col("sma_200_prior")
+def range_blocks() -> str:
+    """Five (max high - min low) / mean close percentages of the base, oldest first."""
+    usable = " AND ".join(f"coalesce(block_{b}_mean <> 0, false)" for b in range(c.BASE_BLOCKS))
+    spans = ", ".join(
+        f"try_divide(block_{b}_high - block_{b}_low, block_{b}_mean) * 100.0D"
+        for b in range(c.BASE_BLOCKS)
     )
-    out["SMA_200_Rising"] = F.coalesce(rising, F.lit(False))
-    return out
+    return f"CASE WHEN rows >= {c.BASE_SESSIONS} AND {usable} THEN array({spans}) END"
 
 
-def range_blocks() -> Column:
-    """Five (max high - min low) / mean close percentages of the base, oldest first."""
-    means = [F.col(f"block_{b}_mean") for b in range(c.BASE_BLOCKS)]
-    usable = F.col("rows") >= c.BASE_SESSIONS
-    for mean in means:
-        usable = usable & F.coalesce(mean != 0, F.lit(False))
-    spans = [
-        F.try_divide(F.col(f"block_{b}_high") - F.col(f"block_{b}_low"), means[b]) * 100.0
-        for b in range(c.BASE_BLOCKS)
-    ]
-    return F.when(usable, F.array(*spans))
-
-
-def _base() -> dict[str, Column]:
-    blocks = F.col("Range_Blocks")
-    tighter = F.lit(0)
-    for b in range(1, c.BASE_BLOCKS):
-        shrinks = F.coalesce(blocks[b] < blocks[b - 1], F.lit(False))
-        tighter = tighter + shrinks.cast("int")
-    long_enough = F.col("rows") >= c.BASE_SESSIONS
-    return {
-        "ATR_Pct": F.when(
-            F.col("tr_rows") >= c.ATR_SESSIONS, F.try_divide("tr_mean", "close_now") * 100.0
-        ),
-        "VCP_Contractions": tighter,
-        "Contraction_Ratio": F.try_divide(blocks[c.BASE_BLOCKS - 1], blocks[0]),
-        "Base_Depth_Pct": F.when(
-            long_enough & (F.col("base_high") > 0),
-            F.try_divide(F.col("base_high") - F.col("base_low"), F.col("base_high")) * 100.0,
-        ),
-        "Volume_DryUp": F.when(
-            F.col("rows") >= c.DRYUP_RECENT + c.DRYUP_BASELINE,
-            F.try_divide("dry_recent", "dry_base"),
-        ),
-        "VCP_Pivot": F.when(long_enough, F.col("base_high")),
+def _field_expressions(min_sessions: int, has_low: bool) -> dict[str, str]:
+    long_days = 7 * c.WEEKS_LONG_MA
+    complete = " AND ".join(f"reference_{m} IS NOT NULL" for m in c.RETURN_MONTHS)
+    raw = {m: f"(try_divide(close_now, reference_{m}) - 1.0D)" for m in c.RETURN_MONTHS}
+    blend = " + ".join(f"{c.BLEND_WEIGHTS[m]}D * {raw[m]}" for m in c.RETURN_MONTHS)
+    line = (
+        f"{_reaches_back('close', 'close_day', long_days)} "
+        f"AND {_reaches_back('close', 'slope_day', long_days)} AND ma_long_prior <> 0"
+    )
+    half_year = f"first_close_day <= {_months_back(c.UP_DAYS_MONTHS, 'close_day')}"
+    deep = f"rows >= {c.BASE_SESSIONS} AND base_high > 0"
+    out = {
+        "Symbol": "symbol",
+        "Date": "date_from_unix_date(close_day)",
+        "Close": "close_now",
+        **{f"R{m}M": f"CASE WHEN {complete} THEN {raw[m]} END" for m in c.RETURN_MONTHS},
+        "RS_Blend": f"CASE WHEN {complete} THEN {blend} END",
+        **{
+            f"MaxDD_{m}M": f"CASE WHEN first_close_day <= {_months_back(m, 'close_day')} "
+                           f"THEN fall_{m} END"
+            for m in c.RETURN_MONTHS
+        },
+        "Up_Days_Pct_6M": f"CASE WHEN {half_year} THEN "
+                          "try_divide(double(half_year_ups), double(half_year_rows - 1)) * 100.0D END",
+        "MA_30W": f"CASE WHEN {line} THEN ma_long END",
+        "MA_30W_Slope_10S_Pct": f"CASE WHEN {line} THEN "
+                                "(try_divide(ma_long, ma_long_prior) - 1.0D) * 100.0D END",
+        "MA_10W": f"CASE WHEN {_reaches_back('close', 'close_day', 7 * c.WEEKS_SHORT_MA)} "
+                  "THEN ma_short END",
+        "High_52W": _range("high", min_sessions),
+        "Low_52W": _range("low", min_sessions),
+        "Volume_Ratio": f"CASE WHEN rows > {c.VOLUME_BASELINE} THEN "
+                        f"{_ratio_or_infinity('volume_now', 'volume_base')} END",
+        "U_D": f"CASE WHEN rows > {c.UD_SESSIONS} THEN "
+               + _ratio_or_infinity("coalesce(up_volume, 0.0D)", "coalesce(down_volume, 0.0D)")
+               + " END",
+        "AvgValue20": f"CASE WHEN values >= {c.VALUE_SESSIONS} THEN value_mean END",
+        **{f"SMA_{n}": f"CASE WHEN closes >= {n} THEN sma_{n} END" for n in (50, 150, 200)},
+        "SMA_200_Rising": f"coalesce(closes >= {200 + c.SMA_RISING_SESSIONS} "
+                          "AND sma_200 > sma_200_prior, false)",
+        "Range_Blocks": range_blocks(),
+        "RS_Line": "line_now",
+        "RS_Line_High_52W": _range("line", min_sessions),
+        "ATR_Pct": f"CASE WHEN {str(has_low).lower()} AND tr_rows >= {c.ATR_SESSIONS} THEN "
+                   "try_divide(tr_mean, close_now) * 100.0D END",
+        "Base_Depth_Pct": f"CASE WHEN {deep} THEN (base_high - base_low) / base_high * 100.0D END",
+        "Volume_DryUp": f"CASE WHEN rows >= {c.DRYUP_RECENT + c.DRYUP_BASELINE} THEN "
+                        "try_divide(dry_recent, dry_base) END",
+        "VCP_Pivot": f"CASE WHEN rows >= {c.BASE_SESSIONS} THEN base_high END",
     }
+    return out
 
 
 def symbol_indicators(
@@ -294,37 +248,28 @@ def symbol_indicators(
     `boundary.rows_until`); a row's newest session is its snapshot session.
     """
     inputs = indicator_inputs(session_facts(with_benchmark(bars, benchmark)))
-    has_low = "low" in bars.columns
-    fields: dict[str, Column] = {
-        "Symbol": F.col("symbol"),
-        "Date": F.date_from_unix_date("close_day"),
-        "Close": F.col("close_now"),
-        **_returns(),
-        **_path(),
-        **_trend(),
-        "High_52W": _range("high", min_sessions),
-        "Low_52W": _range("low", min_sessions),
-        **_volume(),
-        **_averages(),
-        "Range_Blocks": range_blocks(),
-        "RS_Line": F.col("line_now"),
-        "RS_Line_High_52W": _range("line", min_sessions),
-    }
-    rows = inputs.withColumn("Range_Blocks", range_blocks())
-    fields["Range_Blocks"] = F.col("Range_Blocks")
-    fields.update(_base())
-    if not has_low:
-        fields["ATR_Pct"] = F.lit(None).cast("double")
-    rows = rows.select(*[v.alias(n) for n, v in fields.items()])
-    rows = rows.withColumns({
-        "Near_52W_High": rules.near_high(F.col("Close"), F.col("High_52W")),
-        "RS_Line_At_High": rules.line_at_high(),
-        "Pct_To_Pivot": percent_change(F.col("VCP_Pivot"), F.col("Close")),
-        "VCP_Setup": rules.vcp_setup(),
-        **rules.timing_columns(),
-        **rules.trend_flags(),
-    })
-    return rows
+    fields = _field_expressions(min_sessions, "low" in bars.columns)
+    rows = inputs.selectExpr(*[f"{e} AS {n}" for n, e in fields.items()])
+    tighter = " + ".join(
+        f"int(coalesce(Range_Blocks[{b}] < Range_Blocks[{b - 1}], false))"
+        for b in range(1, c.BASE_BLOCKS)
+    )
+    rows = rows.selectExpr(
+        "*",
+        f"{tighter} AS VCP_Contractions",
+        f"try_divide(Range_Blocks[{c.BASE_BLOCKS - 1}], Range_Blocks[0]) AS Contraction_Ratio",
+        f"{rules.STAGE} AS Stage",
+        f"{rules.NEAR_HIGH} AS Near_52W_High",
+        f"{rules.LINE_AT_HIGH} AS RS_Line_At_High",
+        "(try_divide(VCP_Pivot, Close) - 1.0D) * 100.0D AS Pct_To_Pivot",
+        *[f"{e} AS {n}" for n, e in {**rules.TIMING, **rules.TREND}.items()],
+    )
+    return rows.selectExpr(
+        "*",
+        f"{rules.BREAKOUT} AS Breakout",
+        f"{rules.BREAKOUT_CONFIRMED} AS Breakout_Confirmed",
+        f"{rules.VCP_SETUP} AS VCP_Setup",
+    )
 
 
 # --- series --------------------------------------------------------------------

@@ -14,6 +14,7 @@ from breadthline import config as c
 from breadthline.functions.numbers import finite, flag, number, truthy
 from breadthline.operators.corporate import is_jump
 from breadthline.operators.ranking import exact_medians
+from breadthline.session import land
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("snapshot_date", T.DateType()),
@@ -227,9 +228,11 @@ def grade(
         "snapshot_date", F.col("Symbol").cast("string").alias("symbol"),
         *[t.alias(f"in_{n}") for n, t in tests.items()],
     ).join(due, "snapshot_date")
-    priced = members.join(
+    # The counts and the medians read these rows several times; without a written
+    # table each read would go back to the windows over the bars.
+    priced = land(members.join(
         returns.select("symbol", *by_pair, "return_pct"), ["symbol", *by_pair], "left"
-    )
+    ), "priced")
     ret = finite("return_pct")
     measures = []
     for name in tests:
@@ -251,7 +254,9 @@ def grade(
             F.when(F.col(f"in_{n}"), F.lit(n)) for n in tests
         ]))).alias("cohort"),
     )
-    medians = exact_medians(exploded, [*by_pair, "cohort"], "return_pct", "_median")
+    medians = land(
+        exact_medians(exploded, [*by_pair, "cohort"], "return_pct", "_median"), "medians"
+    )
     universe = medians.filter(F.col("cohort") == "universe").select(
         *by_pair, F.col("_median").alias("_universe")
     )

@@ -9,6 +9,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from breadthline import config as c
 from breadthline.operators import aggregates, boundary, corporate, indicators, record, reconcile
@@ -43,8 +44,15 @@ def run_audit(
     spark: SparkSession, bars: DataFrame, universe: DataFrame, decision: dt.date, folder: str,
     benchmark: DataFrame | None = None, benchmark_ticker: str = "",
     max_loss_pct: float = c.MAX_UNIVERSE_LOSS_PCT, min_sessions: int = c.MIN_RANGE_SESSIONS,
-    threshold: float = c.IMPLAUSIBLE_MOVE,
+    threshold: float = c.IMPLAUSIBLE_MOVE, start: dt.date | None = None,
 ) -> AuditResult:
+    """Run for one decision date; raises when the outputs must not be published.
+
+    Only bars from `start` (500 days back by default) are read: the longest
+    window needs a year, and a date filter prunes the rest of the table.
+    """
+    decision, start, end = boundary.resolve_dates(decision, start)
+    bars = bars.filter(F.col("date").between(F.lit(start), F.lit(end)))
     closed = boundary.non_trading_sessions(bars)
     # Read by the coverage, both snapshots, the trends and the checks.
     bars = land(boundary.without_sessions(bars, closed), "bars")

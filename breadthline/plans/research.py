@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from breadthline import config as c
 from breadthline.functions import rules, text
-from breadthline.functions.numbers import count_true, flag
 from breadthline.operators import boundary as b
 from breadthline.operators.indicators import symbol_indicators
 from breadthline.operators.ranking import rs_score
@@ -18,21 +17,21 @@ from breadthline.session import land
 
 def finalize(rows: DataFrame) -> DataFrame:
     """Fields that need the whole cross-section, or the score made from it."""
-    scored = rs_score(rows).withColumns({
-        "Liquid_UI_Filter": flag(F.col("AvgValue20") > c.LIQUID_VALUE),
-        "RS_Not_Lagging": flag(F.col("RS_Score") >= c.RS_ADEQUATE),
-    })
-    scored = scored.withColumns({
-        "Trend_Health": count_true([F.col(n) for n in c.HEALTH_FLAGS]),
-        "RS_Line_NH_Before_Price": rules.line_leads_price(),
-        "Stage1_Readiness": rules.stage1_readiness(),
-        **rules.template_flags(),
-    })
-    score = count_true([F.col(n) for n in c.TEMPLATE_FLAGS])
-    return scored.withColumns({
-        "Trend_Template_Score": score,
-        "Trend_Template_Pass": score == len(c.TEMPLATE_FLAGS),
-    })
+    scored = rs_score(rows).selectExpr(
+        "*",
+        f"coalesce(AvgValue20 > {c.LIQUID_VALUE}D, false) AS Liquid_UI_Filter",
+        f"coalesce(RS_Score >= {c.RS_ADEQUATE}D, false) AS RS_Not_Lagging",
+        f"{rules.LINE_LEADS_PRICE} AS RS_Line_NH_Before_Price",
+        f"{rules.STAGE1_READINESS} AS Stage1_Readiness",
+        *[f"{test} AS {name}" for name, test in rules.TEMPLATE.items()],
+    )
+    score = " + ".join(f"int({n})" for n in c.TEMPLATE_FLAGS)
+    return scored.selectExpr(
+        "*",
+        " + ".join(f"int({n})" for n in c.HEALTH_FLAGS) + " AS Trend_Health",
+        f"{score} AS Trend_Template_Score",
+        f"{score} = {len(c.TEMPLATE_FLAGS)} AS Trend_Template_Pass",
+    )
 
 
 def with_actions(rows: DataFrame) -> DataFrame:

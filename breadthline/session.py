@@ -20,6 +20,7 @@ def local_session(cores: str = "*", app: str = "breadthline") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

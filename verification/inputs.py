@@ -42,6 +42,7 @@ class Inputs:
         self.folder = folder
         self.variant = VARIANTS[variant]
         self._bars: DataFrame | None = None
+        self._benchmark: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -90,6 +91,12 @@ class Inputs:
             F.col("l_extendedprice"), F.col("l_quantity"),
         )
 
+    def landed_benchmark(self) -> DataFrame:
+        """One row per session as a written table: its true size decides the join."""
+        if self._benchmark is None:
+            self._benchmark = land(self.benchmark(), "benchmark")
+        return self._benchmark
+
     def universe(self) -> DataFrame:
         rows = self.suppliers()
         if self.variant.name == "supplier":

@@ -21,7 +21,7 @@ NATION_TWO = o.two_snapshots("nation")
 
 def _pair(i):
     day = i.boundary()
-    bars, bench, names = i.landed_bars(), i.benchmark(), i.universe()
+    bars, bench, names = i.landed_bars(), i.landed_benchmark(), i.universe()
     before = i.boundary(day)
     return tuple(
         plans.research(bars, names, d, bench, i.variant.min_sessions) for d in (day, before)
@@ -276,7 +276,7 @@ def _(i):
     day, bars = i.boundary(), i.landed_bars()
     snapshot = plans.land(full(i).withColumn("snapshot_date", F.lit(day)), "snapshot")
     due = record.with_horizons(snapshot.select("snapshot_date").distinct())
-    return record.grade(snapshot, bars, i.benchmark(), due, DECISION, threshold=50.0)
+    return record.grade(snapshot, bars, i.landed_benchmark(), due, DECISION, threshold=50.0)
 
 
 @register(

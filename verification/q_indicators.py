@@ -15,13 +15,13 @@ from verification.registry import register
 
 def measured(i: Inputs):
     return plans.measured_rows(
-        i.landed_bars(), i.boundary(), i.benchmark(), i.variant.min_sessions
+        i.landed_bars(), i.boundary(), i.landed_benchmark(), i.variant.min_sessions
     )
 
 
 def full(i: Inputs):
     return plans.research(
-        i.landed_bars(), i.universe(), i.boundary(), i.benchmark(), i.variant.min_sessions
+        i.landed_bars(), i.universe(), i.boundary(), i.landed_benchmark(), i.variant.min_sessions
     )
 
 

@@ -247,7 +247,7 @@ def _(i):
         100.0 * count(*) FILTER (WHERE "Above_MA_30W") / nullif(count(sk), 0) AS "Participation_Pct"
       FROM research GROUP BY 1)""")
 def _(i):
-    return agg.industry_leadership(full(i))
+    return agg.industry_leadership(plans.land(full(i), "snapshot"))
 
 
 @register(
