@@ -83,79 +83,75 @@ def _key() -> Column:
     return F.coalesce(rules.stage_key("Stage"), F.lit(""))
 
 
-def _rs_text() -> Column:
-    rs = finite("RS_Score")
-    return F.when(rs.isNotNull(), _printf("RS %.0f", rs)).otherwise("RS unavailable")
-
 
 def _on(name: str) -> Column:
     return flag(F.col(name))
 
 
 # --- action reason -------------------------------------------------------------
-
-def _unmet_condition() -> Column:
-    """The one condition a WAIT is waiting for."""
-    rs, ext = finite("RS_Score"), finite("Ext_Pct")
-    short = c.RS_LEADER - rs
-    at = F.when(ext.isNotNull(), _printf(" (currently %+.0f%%)", ext)).otherwise("")
-    return (
-        F.when(
-            _key() != "Stage 2",
-            F.concat(F.lit("wait because the guide requires Stage 2 before buying, and this is "),
-                     _key(), F.lit(".")))
-        .when(
-            _on("Extended_20Pct"),
-            F.concat(F.lit("wait because price is more than 20% above the 30-week line"), at,
-                     F.lit(" — the guide treats that as poor entry timing, not a failed trend.")))
-        .when(
-            _on("Below_50DMA"),
-            "wait because the close is below its 50-session average — short-term timing "
-            "has weakened even though the 30-week trend is intact.")
-        .when(
-            rs < c.RS_ADEQUATE,
-            "wait because relative strength is below 50 — the trend has turned up but the "
-            "stock still lags most of the universe.")
-        .when(
-            (rs < c.RS_LEADER) & _on("Breakout"),
-            _printf("wait because a breakout without leadership is not an entry: RS needs 80, "
-                    "short by %.0f.", short))
-        .when(
-            rs < c.RS_LEADER,
-            _printf("wait because RS is below the 80 leadership band, short by %.0f.", short))
-        .otherwise("wait for a clearer entry trigger; no breakout setup is present.")
-    )
-
-
-def action_reason(action: str | Column = "Action") -> Column:
+# SQL text, as in rules.py: this sentence is part of every snapshot row.
+
+_KEY = f"coalesce({rules.STAGE_KEY}, '')"
+_RS = "CASE WHEN RS_Score IS NULL THEN 'RS unavailable' ELSE format_string('RS %.0f', RS_Score) END"
+_HEAD = f"concat({_KEY}, ' + ', {_RS}, '; ')"
+_SHORT = f"format_string('%.0f', {c.RS_LEADER}D - RS_Score)"
+_UD = (
+    "CASE WHEN U_D IS NULL OR isnan(U_D) OR abs(U_D) = double('Infinity') THEN 'U/D unavailable' "
+    "ELSE format_string('U/D %.2f', U_D) END"
+)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
+def _tail(value: str) -> str:
+    return f"concat({_HEAD}, {_text(value)})"
+
+
+# The one condition a WAIT is waiting for.
+_UNMET = f"""CASE
+  WHEN {_KEY} <> 'Stage 2' THEN concat(
+    {_text("wait because the guide requires Stage 2 before buying, and this is ")}, {_KEY}, '.')
+  WHEN Extended_20Pct THEN concat(
+    {_text("wait because price is more than 20% above the 30-week line")},
+    CASE WHEN Ext_Pct IS NULL THEN '' ELSE format_string(' (currently %+.0f%%)', Ext_Pct) END,
+    {_text(" — the guide treats that as poor entry timing, not a failed trend.")})
+  WHEN Below_50DMA THEN {_text(
+    "wait because the close is below its 50-session average — short-term timing has weakened "
+    "even though the 30-week trend is intact.")}
+  WHEN RS_Score < {c.RS_ADEQUATE} THEN {_text(
+    "wait because relative strength is below 50 — the trend has turned up but the stock still "
+    "lags most of the universe.")}
+  WHEN RS_Score < {c.RS_LEADER} AND Breakout THEN concat({_text(
+    "wait because a breakout without leadership is not an entry: RS needs 80, short by ")},
+    {_SHORT}, '.')
+  WHEN RS_Score < {c.RS_LEADER} THEN concat(
+    {_text("wait because RS is below the 80 leadership band, short by ")}, {_SHORT}, '.')
+  ELSE {_text("wait for a clearer entry trigger; no breakout setup is present.")} END"""
+
+ACTION_REASON = f"""CASE
+  WHEN Action = 'SELL' AND {_KEY} = 'Stage 4' THEN {_text(
+    "Stage 4 takes precedence: the guide requires SELL regardless of RS.")}
+  WHEN Action = 'SELL' THEN {_tail("RS below 50 in Stage 3 triggers SELL.")}
+  WHEN Action = 'REDUCE' AND {_KEY} = 'Stage 3' THEN concat('Stage 3 with ', {_RS},
+    {_text("; the guide requires REDUCE when RS is 50 or higher.")})
+  WHEN Action = 'REDUCE' THEN concat({_HEAD}, 'distribution warning (', {_UD}, ') triggers REDUCE.')
+  WHEN Action = 'WATCH★' THEN {_tail("high leadership in a basing stage is WATCH★, not a buy.")}
+  WHEN Action = 'WATCH' THEN {_tail("adequate RS in a basing stage remains WATCH.")}
+  WHEN Action = 'AVOID' THEN {_tail("weak RS in a basing stage is AVOID.")}
+  WHEN Action = 'WAIT' THEN concat({_HEAD}, {_UNMET})
+  WHEN Action = 'BUY★' THEN {_tail(
+    "breakout is confirmed and no guide timing warning is active.")}
+  WHEN Action = 'BUY' THEN {_tail("breakout setup is present but confirmation is incomplete.")}
+  WHEN Action = 'HOLD' THEN {_tail(
+    "trend/leadership is adequate without a stronger entry trigger.")}
+  ELSE concat({_KEY}, ' / ', {_RS}, '; no action rule matched.') END"""
+
+
+def action_reason() -> Column:
     """The decision rule that produced the action, as one sentence."""
-    action, key, ud = col(action), _key(), finite("U_D")
-    ud_text = F.when(ud.isNotNull(), _printf("U/D %.2f", ud)).otherwise("U/D unavailable")
-    head = F.concat(key, F.lit(" + "), _rs_text(), F.lit("; "))
-
-    def tail(text: str) -> Column:
-        return F.concat(head, F.lit(text))
-
-    return (
-        F.when((action == "SELL") & (key == "Stage 4"),
-               "Stage 4 takes precedence: the guide requires SELL regardless of RS.")
-        .when(action == "SELL", tail("RS below 50 in Stage 3 triggers SELL."))
-        .when((action == "REDUCE") & (key == "Stage 3"),
-              F.concat(F.lit("Stage 3 with "), _rs_text(),
-                       F.lit("; the guide requires REDUCE when RS is 50 or higher.")))
-        .when(action == "REDUCE",
-              F.concat(head, F.lit("distribution warning ("), ud_text, F.lit(") triggers REDUCE.")))
-        .when(action == "WATCH★", tail("high leadership in a basing stage is WATCH★, not a buy."))
-        .when(action == "WATCH", tail("adequate RS in a basing stage remains WATCH."))
-        .when(action == "AVOID", tail("weak RS in a basing stage is AVOID."))
-        .when(action == "WAIT", F.concat(head, _unmet_condition()))
-        .when(action == "BUY★",
-              tail("breakout is confirmed and no guide timing warning is active."))
-        .when(action == "BUY", tail("breakout setup is present but confirmation is incomplete."))
-        .when(action == "HOLD",
-              tail("trend/leadership is adequate without a stronger entry trigger."))
-        .otherwise(F.concat(key, F.lit(" / "), _rs_text(), F.lit("; no action rule matched.")))
-    )
+    return F.expr(ACTION_REASON)
 
 
 # --- evidence card ---------------------------------------------------------------
