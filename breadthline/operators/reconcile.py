@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from breadthline import config as c
 from breadthline.functions.numbers import INFINITY
 
-# Absolute tolerance per reconciled field.
+# Tolerance per reconciled field, relative above one: two plans add the same
+# numbers in different orders, which moves the last digits of a large mean.
 TIGHT, LOOSE = 1e-12, 1e-9
 TOLERANCES: dict[str, float] = {
     **{f"R{m}M": TIGHT for m in c.RETURN_MONTHS},
@@ -227,7 +228,8 @@ def compare(
     checks = []
     for n, tolerance in tolerances.items():
         a, e = F.col(f"a_{n}"), F.col(f"e_{n}")
-        same = (a.isNull() & e.isNull()) | (a == e) | (F.abs(a - e) <= tolerance)
+        near = F.abs(a - e) <= tolerance * F.greatest(F.lit(1.0), F.abs(e))
+        same = (a.isNull() & e.isNull()) | (a == e) | near
         agrees = (
             F.coalesce(same, F.lit(False)) & F.lit(present[n])
             & F.col("a_known").isNotNull() & F.col("e_known").isNotNull()
@@ -263,7 +265,9 @@ def panel_disagreements(trends: DataFrame, research: DataFrame) -> DataFrame:
     )
 
     def off(stored: str, reported: str) -> Column:
-        gap = F.abs(F.col(f"last.{stored}") - F.col(reported)) > LOOSE
+        gap = F.abs(F.col(f"last.{stored}") - F.col(reported)) > LOOSE * F.greatest(
+            F.lit(1.0), F.abs(F.col(reported))
+        )
         return F.col(reported).isNotNull() & F.coalesce(gap, F.lit(True))
 
     problems = F.array_compact(F.array(

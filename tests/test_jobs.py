@@ -1,0 +1,127 @@
+"""Whole jobs end to end, and the shape of the plans they run."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from breadthline.operators import boundary, record, reconcile
+from breadthline.operators.corporate import MassEventError
+from breadthline.plans import audit, grading, research
+from breadthline.session import shared_folder
+from breadthline.sources import readers
+from tests.helpers import bars_of, day, walk
+
+DECISION = day("2026-08-22")
+
+
+@pytest.fixture(scope="module")
+def market(spark, tmp_path_factory):
+    frames = [walk(f"S{i:02}", i, blanks=0.01 if i % 3 else 0.0) for i in range(24)]
+    frames.append(walk("YOUNG", 50, sessions=90))
+    path = str(tmp_path_factory.mktemp("bars") / "bars")
+    bars_of(spark, pd.concat(frames)).write.parquet(path)
+    bars = readers.read_bars(spark, path)
+    names = bars.select(F.col("symbol").alias("Symbol")).distinct().select(
+        "Symbol", F.concat(F.lit("Co "), "Symbol").alias("Company Name"),
+        F.substring("Symbol", 1, 2).alias("Industry"), F.lit("EQ").alias("Series"))
+    rng = np.random.default_rng(9)
+    dates = pd.bdate_range(end="2026-08-21", periods=620)
+    index = spark.createDataFrame(
+        [(d.date(), float(v)) for d, v in zip(dates, 20000 + np.cumsum(rng.normal(2, 60, 620)))],
+        "date date, close double")
+    return bars, names, index
+
+
+def test_audit_publishes_then_refuses_to_go_back(spark, market, tmp_path):
+    bars, names, index = market
+    folder = str(tmp_path / "out")
+    done = audit.run_audit(spark, bars, names, DECISION, folder, index, "INDEX")
+    assert done.published and done.boundary == day("2026-08-21")
+    assert done.previous_boundary == day("2026-08-20") or done.previous_boundary < done.boundary
+    snapshot = readers.load_snapshot(spark, folder, names)
+    assert snapshot.missing == {} and snapshot.has("RS_Score", "Trend_Health")
+    assert snapshot.research.count() == 25 and snapshot.previous.count() > 0
+    assert snapshot.breadth.filter("benchmark_ticker = 'INDEX'").count() > 100
+    maturing = spark.read.parquet(f"{folder}/maturing").collect()
+    assert [r["Symbol"] for r in maturing] == ["YOUNG"]
+    assert record.read_archive(spark, f"{folder}/snapshots").count() == 25
+
+    again = audit.run_audit(spark, bars, names, DECISION, folder, index, "INDEX")
+    assert again.published and again.archived is None
+    back = audit.run_audit(spark, bars, names, day("2026-08-10"), folder, index)
+    assert not back.published
+
+
+def test_audit_stops_before_writing(spark, market, tmp_path):
+    bars, names, index = market
+    folder = str(tmp_path / "out")
+    halved = bars.withColumn("close", F.when(
+        F.col("date") == F.lit(day("2026-08-21")), F.col("close") / 2).otherwise(F.col("close")))
+    with pytest.raises(MassEventError):
+        audit.run_audit(spark, halved, names, DECISION, folder, index)
+    stale = bars.filter("NOT (date > DATE '2025-08-01' AND symbol IN ('S01', 'S02'))")
+    with pytest.raises(boundary.CoverageError):
+        audit.run_audit(spark, stale, names, DECISION, folder, index)
+    assert boundary.published_boundary(spark, f"{folder}/research") is None
+
+
+def test_both_computations_agree_and_a_wrong_one_is_found(spark, market):
+    bars, _, _ = market
+    rows = research.measured_rows(bars, day("2026-08-21"))
+    second = reconcile.independent_fields(bars, day("2026-08-21"))
+    assert reconcile.mismatches(reconcile.compare(rows, second)).count() == 0
+    wrong = rows.withColumn("SMA_200", F.col("SMA_200") + 1e-6)
+    bad = reconcile.mismatches(reconcile.compare(wrong, second))
+    assert {r["field"] for r in bad.collect()} == {"SMA_200"}
+    absent = reconcile.mismatches(reconcile.compare(rows.drop("U_D"), second))
+    assert {r["field"] for r in absent.collect()} == {"U_D"}
+
+
+def test_grading_appends_once(spark, market, tmp_path):
+    bars, names, index = market
+    archive, path = str(tmp_path / "snapshots"), str(tmp_path / "record")
+    for text in ("2026-05-04", "2026-06-01"):
+        cut = day(text)
+        rows = research.research(bars, names, cut, index)
+        record.archive_snapshot(rows, archive, cut)
+    first = grading.run_grading(spark, archive, path, bars, index, day("2026-08-22"))
+    pairs = {(str(r["snapshot_date"]), r["horizon_weeks"]) for r in first.collect()}
+    assert pairs == {("2026-05-04", 4), ("2026-05-04", 8), ("2026-05-04", 13),
+                     ("2026-06-01", 4), ("2026-06-01", 8)}
+    stored = spark.read.parquet(path)
+    assert stored.count() == 25 and stored.filter("n_priced > n").count() == 0
+    second = grading.run_grading(spark, archive, path, bars, index, day("2026-08-23"))
+    assert second.count() == 0 and spark.read.parquet(path).count() == 25
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_shuffles_once_and_sorts_once(spark, market):
+    bars, _, index = market
+    plan = plan_of(research.measured_rows(bars, day("2026-08-21"), index))
+    assert plan.count("Exchange hashpartitioning(symbol") == 1
+    assert plan.count("Sort [symbol") == 1
+    assert "Exchange SinglePartition" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "LessThanOrEqual(date,2026-08-21)" in plan
+
+
+def test_score_never_sorts_all_symbols_in_one_task(spark):
+    from breadthline.operators.ranking import rs_score
+
+    rows = spark.range(1000).selectExpr("string(id) AS Symbol", "rand(7) AS RS_Blend")
+    plan = plan_of(rs_score(rows))
+    for line in plan.splitlines():
+        if "Window" in line and "specifiedwindowframe" in line:
+            assert "windowspecdefinition(range#" in line
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_intermediate_tables_live_in_the_configured_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_folder(spark).startswith((folder or shared_folder(spark)).rstrip("/"))
