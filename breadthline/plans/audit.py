@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from breadthline import config as c
 from breadthline.operators import aggregates, boundary, corporate, indicators, record, reconcile
 from breadthline.plans.research import research
-from breadthline.session import land
+from breadthline.session import land, land_by_symbol
 from breadthline.sources import panel, sinks
 
 
@@ -55,7 +55,7 @@ def run_audit(
     bars = bars.filter(F.col("date").between(F.lit(start), F.lit(end)))
     closed = boundary.non_trading_sessions(bars)
     # Read by the coverage, both snapshots, the trends and the checks.
-    bars = land(boundary.without_sessions(bars, closed), "bars")
+    bars = land_by_symbol(boundary.without_sessions(bars, closed), "bars")
     size = universe.count()
     min_pct = 100.0 - max_loss_pct
     day = boundary.information_boundary(bars, size, decision, min_pct)

@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from breadthline.operators import boundary, record, reconcile
+from breadthline.operators import boundary, corporate, indicators, record, reconcile
 from breadthline.operators.corporate import MassEventError
 from breadthline.plans import audit, grading, research
-from breadthline.session import shared_folder
+from breadthline.session import land, land_by_symbol, shared_folder
 from breadthline.sources import readers
 from tests.helpers import bars_of, day, walk
 
@@ -111,6 +111,20 @@ def test_snapshot_shuffles_once_and_sorts_once(spark, market):
     assert "LessThanOrEqual(date,2026-08-21)" in plan
 
 
+def test_bucketed_bars_are_not_shuffled_again(spark, market):
+    bars, _, index = market
+    landed, index = land_by_symbol(bars, "bars"), land(index, "index")
+    assert landed.count() == bars.count()
+    for job in (
+        research.measured_rows(landed, day("2026-08-21"), index),
+        indicators.trend_frame(landed),
+        record.forward_returns(landed),
+        corporate.scan(landed),
+        reconcile.independent_fields(landed, day("2026-08-21")),
+    ):
+        assert "Exchange hashpartitioning(symbol" not in plan_of(job)
+
+
 def test_score_never_sorts_all_symbols_in_one_task(spark):
     from breadthline.operators.ranking import rs_score
 

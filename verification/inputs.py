@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breadthline.operators import boundary
-from breadthline.session import land
+from breadthline.session import land, land_by_symbol
 from breadthline.sources import trades
 
 DECISION = dt.date(1999, 1, 4)
@@ -71,10 +71,14 @@ class Inputs:
             counts_for_close=F.col("l_linestatus") == "F" if self.variant.settled else None,
         )
 
-    def landed_bars(self) -> DataFrame:
-        """The bars as a written table, for queries that read them more than once."""
+    def landed_bars(self, by_symbol: bool = False) -> DataFrame:
+        """The bars as a written table, for queries that read them more than once.
+
+        Bucketed by symbol when several window jobs follow, so that only the
+        first of them pays for the shuffle.
+        """
         if self._bars is None:
-            self._bars = land(self.bars(), "bars")
+            self._bars = (land_by_symbol if by_symbol else land)(self.bars(), "bars")
         return self._bars
 
     def thinly_traded_bars(self) -> DataFrame:

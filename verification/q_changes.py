@@ -20,8 +20,8 @@ NATION_TWO = o.two_snapshots("nation")
 
 
 def _pair(i):
+    bars, bench, names = i.landed_bars(by_symbol=True), i.landed_benchmark(), i.universe()
     day = i.boundary()
-    bars, bench, names = i.landed_bars(), i.landed_benchmark(), i.universe()
     before = i.boundary(day)
     return tuple(
         plans.research(bars, names, d, bench, i.variant.min_sessions) for d in (day, before)
