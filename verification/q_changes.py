@@ -11,6 +11,7 @@ from breadthline.operators import corporate, indicators, movers, reconcile, reco
 from breadthline.operators import boundary as b
 from breadthline.plans import research as plans
 from verification import oracle_base as o
+from verification import oracle_swings as sw
 from verification.inputs import DECISION
 from verification.q_indicators import full, measured
 from verification.registry import register
@@ -341,46 +342,56 @@ def _(i):
     )
 
 
-# --- swings: no SQL, state resets depend on the data ---------------------------------------
+# --- swings ------------------------------------------------------------------------------
 
 MONTH = (dt.date(1998, 12, 1), dt.date(1998, 12, 31))
 
 
-@register("swing_points", "symbol, seq:i, date:d, price:f, kind")
+@register("swing_points", "symbol, seq:i, date:d, price:f, kind", "nation", sw.swings(), "swings")
 def _(i):
     return swings.swing_points(i.bars())
 
 
-@register("contraction_depths", "symbol, peak_date:d, depth_pct:f")
+@register("contraction_depths", "symbol, peak_date:d, depth_pct:f", "nation",
+          f"{sw.swings()}, {sw.DEPTHS}", "depths")
 def _(i):
     return swings.contraction_depths(swings.swing_points(i.bars()))
 
 
-@register("cascading_contractions", "symbol, seq:i, peak_date:d, peak:f, depth_pct:f")
+@register("cascading_contractions", "symbol, seq:i, peak_date:d, peak:f, depth_pct:f", "nation",
+          sw.contractions())
 def _(i):
     return swings.cascading_contractions(i.bars(), DECISION)
 
 
 @register("vcp_footprints",
           "symbol, session:d, Base_Weeks:f, Deepest_Pct:f, Tightest_Pct:f, Contractions:i, VCP_Pivot:f, label",
-          "supplier")
+          "supplier", sw.footprints(*MONTH, (c.CASCADE_INITIAL_PCT,)), "labelled")
 def _(i):
     return swings.footprints(i.bars(), *MONTH).withColumn("label", swings.footprint_label())
 
 
-@register("recovery_contractions", "symbol, seq:i, peak_date:d, peak:f, trough:f, depth_pct:f")
+@register("recovery_contractions", "symbol, seq:i, peak_date:d, peak:f, trough:f, depth_pct:f",
+          "nation", sw.recoveries(), "legs")
 def _(i):
     return swings.recovery_contractions(i.bars(), dt.date(1998, 1, 1), DECISION)
 
 
-@register("final_contraction_pivot", "symbol, pivot:f, depth_pct:f")
+@register("final_contraction_pivot", "symbol, pivot:f, depth_pct:f", "nation",
+          f"""{sw.recoveries()}, result AS (
+            SELECT symbol, arg_max(peak, seq) AS pivot, arg_max(depth_pct, seq) AS depth_pct
+            FROM legs GROUP BY symbol)""")
 def _(i):
     return swings.final_pivots(
         swings.recovery_contractions(i.bars(), dt.date(1998, 1, 1), DECISION)
     )
 
 
-@register("footprint_sweep", "symbol, initial_pct:f, session:d, score:f, label, matches", "supplier")
+@register("footprint_sweep", "symbol, initial_pct:f, session:d, score:f, label, matches", "supplier",
+          f"""{sw.footprints(*MONTH, c.SWEEP_THRESHOLDS)}, result AS (
+            SELECT *, abs("Contractions" - 3) * 3 + abs("Deepest_Pct" - 32) AS score,
+              "Contractions" = 3 AS matches FROM labelled WHERE "Base_Weeks" IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY symbol, initial_pct ORDER BY score, session) = 1)""")
 def _(i):
     want = {"contractions": 3, "deepest": 32.0}
     return swings.threshold_sweep(i.bars(), *MONTH, want)
