@@ -100,6 +100,12 @@ def _month_day(today: dt.date, months: int) -> Column:
     return F.unix_date(F.add_months(F.lit(today), -months))
 
 
+def _line(upto: Column, weeks: int) -> Column:
+    """Calendar mean as of the last element."""
+    end = F.element_at(upto, -1)["day"]
+    return _mean(_pick(_since(upto, end - 7 * weeks), "close"))
+
+
 def independent_fields(
     bars: DataFrame, boundary: dt.date, min_sessions: int = c.MIN_RANGE_SESSIONS
 ) -> DataFrame:
@@ -112,6 +118,30 @@ def independent_fields(
         .filter(F.element_at("closes", -1)["day"] == today)
     )
     closes = F.col("closes")
+    # Windows become columns first: each is used several times below, and an
+    # expression that repeats them would be folded over the array each time.
+    since = {
+        f"since_{m}": _pick(_since(closes, _month_day(boundary, m)), "close")
+        for m in c.RETURN_MONTHS
+    }
+    size = F.size(closes)
+    earlier = F.when(
+        size > c.SLOPE_SESSIONS,
+        F.slice(closes, F.lit(1), F.greatest(size - c.SLOPE_SESSIONS, F.lit(0))),
+    )
+    rows = rows.withColumns({
+        **since,
+        "earlier": earlier,
+        "high_end": F.try_element_at("highs", F.lit(-1))["day"] - 7 * c.WEEKS_RANGE,
+        "low_end": F.try_element_at("lows", F.lit(-1))["day"] - 7 * c.WEEKS_RANGE,
+    }).withColumns({
+        "long_line": _line(closes, c.WEEKS_LONG_MA),
+        "short_line": _line(closes, c.WEEKS_SHORT_MA),
+        "earlier_line": _line(F.col("earlier"), c.WEEKS_LONG_MA),
+        "high_window": _pick(_since(F.col("highs"), F.col("high_end")), "high"),
+        "low_window": _pick(_since(F.col("lows"), F.col("low_end")), "low"),
+        "volumes": _pick(F.col("history"), "volume"),
+    })
     now = F.element_at(closes, -1)["close"]
     fields: dict[str, Column] = {}
 
@@ -124,33 +154,19 @@ def independent_fields(
         0.40 * fields["R3M"] + 0.20 * fields["R6M"] + 0.20 * fields["R9M"] + 0.20 * fields["R12M"]
     )
     for m in c.RETURN_MONTHS:
-        window = _since(closes, _month_day(boundary, m))
-        fields[f"MaxDD_{m}M"] = _deepest_fall(_pick(window, "close"))
-    steps = _steps(_pick(_since(closes, _month_day(boundary, c.UP_DAYS_MONTHS)), "close"))
+        fields[f"MaxDD_{m}M"] = _deepest_fall(F.col(f"since_{m}"))
+    steps = _steps(F.col(f"since_{c.UP_DAYS_MONTHS}"))
     fields["Up_Days_Pct_6M"] = F.try_divide(
         F.size(F.filter(steps, lambda d: d > 0)).cast("double"), F.size(steps)
     ) * 100.0
-
-    def line(upto: Column, weeks: int) -> Column:
-        end = F.element_at(upto, -1)["day"]
-        return _mean(_pick(_since(upto, end - 7 * weeks), "close"))
-
-    long_line = line(closes, c.WEEKS_LONG_MA)
-    earlier = F.when(
-        F.size(closes) > c.SLOPE_SESSIONS,
-        F.slice(closes, F.lit(1), F.greatest(F.size(closes) - c.SLOPE_SESSIONS, F.lit(0))),
-    )
-    before = line(earlier, c.WEEKS_LONG_MA)
-    fields["MA_30W"] = F.when(before.isNotNull() & (before != 0), long_line)
-    fields["MA_30W_Slope_10S_Pct"] = (F.try_divide(long_line, before) - 1.0) * 100.0
-    fields["MA_10W"] = line(closes, c.WEEKS_SHORT_MA)
-
-    for name, series, best in (("High_52W", "highs", F.array_max), ("Low_52W", "lows", F.array_min)):
-        upto = F.col(series)
-        window = _since(upto, F.try_element_at(upto, F.lit(-1))["day"] - 7 * c.WEEKS_RANGE)
-        fields[name] = F.when(
-            F.size(window) >= min_sessions, best(_pick(window, series[:-1]))
-        )
+    line, before = F.col("long_line"), F.col("earlier_line")
+    fields["MA_30W"] = F.when(before.isNotNull() & (before != 0), line)
+    fields["MA_30W_Slope_10S_Pct"] = (F.try_divide(line, before) - 1.0) * 100.0
+    fields["MA_10W"] = F.col("short_line")
+    for name, window, best in (
+        ("High_52W", F.col("high_window"), F.array_max), ("Low_52W", F.col("low_window"), F.array_min)
+    ):
+        fields[name] = F.when(F.size(window) >= min_sessions, best(window))
     for n in (150, 200):
         fields[f"SMA_{n}"] = _mean(_pick(_tail(closes, n), "close"))
 
@@ -176,7 +192,7 @@ def independent_fields(
     ).cast("double")
     fields["Contraction_Ratio"] = F.try_divide(blocks[c.BASE_BLOCKS - 1], blocks[0])
 
-    volumes = _pick(history, "volume")
+    volumes = F.col("volumes")
     recent = _mean(_tail(volumes, c.DRYUP_RECENT))
     base = _mean(_tail(volumes, c.DRYUP_BASELINE, c.DRYUP_RECENT))
     fields["Volume_DryUp"] = F.try_divide(recent, base)
