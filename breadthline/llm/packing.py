@@ -246,7 +246,9 @@ def pack(docs: DataFrame, capacity: int = 2_048, path: str | None = None) -> Dat
         W.Window.unboundedPreceding, -1)
     starts = counts.select(
         "part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = made.join(starts, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # The starts grow with the partitions: they are shuffled, never broadcast.
+    ranked = made.join(starts.hint("merge"), ["part", "length"]).withColumn(
+        "rank", F.col("before") + F.col("nth"))
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
