@@ -99,6 +99,17 @@ def _answers(net: Network, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, x
 
 
+def _inside(shaped: np.ndarray, halves: np.ndarray, start: int = 0) -> np.ndarray:
+    """Takes out the steps at each text's end whose filters reach into the text after it.
+
+    They begin in the padding, so nothing of the text is lost.
+    """
+    ends = np.cumsum(halves) - 1 - start
+    ends = ends[(ends >= 0) & (ends < len(shaped))]
+    shaped[ends, STEPS - WIDTH + 1:] = -1e9
+    return shaped
+
+
 def _chunks(top: np.ndarray, halves: np.ndarray) -> np.ndarray:
     """Each half together with the next one of the same text: chunks that overlap by half."""
     last = np.zeros(len(top), dtype=bool)
@@ -117,7 +128,8 @@ def _document(net: Network, top: np.ndarray, halves: np.ndarray) -> np.ndarray:
 def _probability(net: Network, rows: np.ndarray) -> np.ndarray:
     hidden = np.maximum(rows @ net.mix + net.mix_bias, 0)
     logit = np.clip(hidden @ net.out + net.out_bias, -30, 30)
-    return 1 / (1 + np.exp(-logit.astype(np.float64)))
+    # Matrix products of other shapes differ in the last bits; equal texts have equal scores.
+    return np.round(1 / (1 + np.exp(-logit.astype(np.float64))), 6)
 
 
 def score(net: Network, texts: list[str], run: int = 1_024) -> np.ndarray:
@@ -135,7 +147,8 @@ def score(net: Network, texts: list[str], run: int = 1_024) -> np.ndarray:
         padded[:len(part)] = part
         total, _ = _answers(net, padded)
         total = total[:(stop - start) * STEPS]
-        top[start:stop] = total.reshape(-1, STEPS, FILTERS).max(axis=1) + net.bias
+        shaped = _inside(total.reshape(-1, STEPS, FILTERS), halves, start)
+        top[start:stop] = shaped.max(axis=1) + net.bias
     return _probability(net, _document(net, top, halves))
 
 
@@ -143,7 +156,7 @@ def _gradients(net: Network, texts: list[str], labels: np.ndarray,
                weight: np.ndarray) -> list[np.ndarray]:
     data, halves = blocks_of(texts)
     total, x = _answers(net, data)
-    shaped = total.reshape(-1, STEPS, FILTERS)
+    shaped = _inside(total.reshape(-1, STEPS, FILTERS), halves)
     where = shaped.argmax(axis=1)
     top = np.take_along_axis(shaped, where[:, None], axis=1)[:, 0] + net.bias
     last = np.zeros(len(top), dtype=bool)
@@ -166,7 +179,11 @@ def _gradients(net: Network, texts: list[str], labels: np.ndarray,
     d_mix, d_mix_bias = rows.T @ d_before, d_before.sum(axis=0)
     d_rows = d_before @ net.mix.T
     d_chunks = (d_rows[:, :FILTERS] / halves[:, None])[owner]
-    d_chunks = d_chunks + np.where(chunks == most[owner], d_rows[:, FILTERS:][owner], 0)
+    # Neighbouring chunks share a half, so the largest answer may stand in two: the first counts.
+    largest = chunks == most[owner]
+    so_far = np.cumsum(largest, axis=0)
+    so_far -= (so_far[firsts] - largest[firsts])[owner]
+    d_chunks = d_chunks + np.where(largest & (so_far == 1), d_rows[:, FILTERS:][owner], 0)
     d_chunks = np.where(chunks > 0, d_chunks, 0)
     d_top = np.where(from_next, 0, d_chunks)
     d_top[1:] += np.where(from_next, d_chunks, 0)[:-1]

@@ -1,0 +1,445 @@
+"""Each operator against a brute-force version, a library, or a round trip, and on odd tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from breadthline.llm import (
+    components,
+    decontaminate,
+    fingerprint,
+    jaccard,
+    language,
+    packing,
+    pretokens,
+    quality,
+    secrets,
+    sharding,
+    tokens,
+    toxicity,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+GOOD = ("The river ran past the old mill and turned north. Nobody in the village could say when "
+        "the wheel had stopped. Children came there to fish in summer evenings. ")
+OTHER = ("Der Fluss lief an der alten Mühle vorbei und bog nach Norden ab. Niemand im Dorf konnte "
+         "sagen, wann das Rad stehen geblieben war. Im Sommer kamen Kinder zum Angeln. ")
+
+
+def odd_rows() -> list[tuple]:
+    """Nulls in every column, empty, blank, very long, repeated and tied rows."""
+    return [
+        (1, GOOD, "en", "a", 1), (1, GOOD, "en", "a", 1), (2, GOOD, "en", "b", None),
+        (3, "", "en", None, 0), (4, None, None, "a", None), (None, OTHER, "de", "b", 3),
+        (5, " \n\t ", "de", "a", 4), (6, OTHER * 900, "de", "a", 5), (7, "12345 !!", "en", "a", 6),
+        (8, OTHER, None, None, None), (9, "日本語 text 😀 <|endoftext|> x", "en", "c", 7),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = spark.createDataFrame(odd_rows(), SCHEMA)
+    return rows.selectExpr("*", "1 as score", "'x' as predicted", "2 as part", "'y' as place")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame(
+        [(i, int(i % 2), int(i % 3 == 0)) for i in range(1, 9)] + [(None, 1, 1), (2, None, None)],
+        "doc_id long, quality int, toxic int")
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# --- tokens ---------------------------------------------------------------------------------------
+
+PARTS = ["a", "b", " ", "  ", "\n", "\n\n", " \n", "\t", "'s", "'ll", "é", "1", "½", "!", "**", "日本",
+         "<|endoftext|>", "　", "\xa0", "😀", "é", "\r\n", "\x1c", "\x85", "​",
+         "x" * 30, "aaaa", "ab" * 9, "THE ", " the", "\x00", "ⅷ", "_", " ", " "]
+
+
+def random_texts(count: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(count)]
+
+
+def library():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(pretokens.default_path())
+
+
+def test_counts_are_the_librarys():
+    texts = random_texts(3000, 1)
+    want = [len(e.ids) for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert tokens.count(texts, pretokens.default_path()) == want
+
+
+def test_ids_are_the_librarys():
+    texts = random_texts(1500, 2)
+    want = [[*e.ids, 0] for e in library().encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(d, "<u4").tolist() for d in packing.encode(texts, pretokens.default_path())]
+    assert got == want
+
+
+def test_token_rows(odd, empty):
+    found = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit)
+             for r in tokens.token_counts(odd).collect()}
+    assert (3, 0, 0, False) in found and (4, 0, 0, False) in found
+    assert any(r[0] == 6 and r[3] for r in found)
+    assert tokens.token_counts(odd).count() == 11 and tokens.token_counts(empty).count() == 0
+
+
+# --- packing --------------------------------------------------------------------------------------
+
+def test_layouts_fill_without_gaps():
+    rng = random.Random(3)
+    for _ in range(400):
+        capacity = rng.choice([5, 10, 30])
+        histogram = {rng.randint(1, capacity): rng.randint(1, 9) for _ in range(8)}
+        layouts = packing.match(histogram, capacity)
+        used: dict[int, list] = {}
+        for length, count in histogram.items():
+            for s, o in zip(*(x.tolist() for x in layouts.place(
+                    np.full(count, length), np.arange(count)))):
+                used.setdefault(s, []).append((o, length))
+        assert len(used) == layouts.sequences
+        for pieces in used.values():
+            end = 0
+            for offset, length in sorted(pieces):
+                assert offset == end
+                end += length
+            assert end <= capacity
+
+
+def test_packing_is_close_to_the_bound():
+    rng = random.Random(4)
+    histogram: dict[int, int] = {}
+    for _ in range(20_000):
+        length = min(2048, int(rng.lognormvariate(6.6, 1)) + 1)
+        histogram[length] = histogram.get(length, 0) + 1
+    bound = -(-sum(k * n for k, n in histogram.items()) // 2048)
+    assert packing.match(histogram, 2048).sequences <= 1.01 * bound
+
+
+def test_pieces_put_documents_together_again(odd, empty):
+    found = packing.pack(odd, 64).collect()
+    ids = {t: [*library().encode(t or "", add_special_tokens=False).ids, 0]
+           for _, t, *_ in odd_rows()}
+    long = sorted((r for r in found if r.doc_id == 6), key=lambda r: r.piece)
+    whole = ids[OTHER * 900]
+    assert [r.start for r in long] == [0, *np.cumsum([r.length for r in long])[:-1]]
+    assert sum(r.length for r in long) == len(whole)
+    assert all(r.length == 64 for r in long[1:])
+    for r in long:
+        part = np.array(whole[r.start:r.start + r.length], "<u4").tobytes()
+        assert zlib.crc32(part) == r.ids_crc32
+    places: dict[int, list] = {}
+    for r in found:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for some in places.values():
+        end = 0
+        for offset, length in sorted(some):
+            assert offset == end
+            end += length
+        assert end <= 64
+    assert len({(r.doc_id, r.piece) for r in found if r.doc_id == 1}) < sum(
+        r.doc_id == 1 for r in found)
+    assert packing.pack(empty).count() == 0
+
+
+# --- shards ---------------------------------------------------------------------------------------
+
+def test_shards_match_the_mixture(spark, odd, empty):
+    docs = spark.range(2000).selectExpr(
+        "id as doc_id", "concat('t', id % 7) as text",
+        "case when id % 3 = 0 then 'hot' else concat('s', id % 10) end as source")
+    found = sharding.shards(docs, 40)
+    rows = found.collect()
+    assert sorted(np.bincount([r.shard for r in rows])) == [50] * 40
+    for shard in range(40):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(50))
+    hot = [r.rows for r in sharding.mixture(found, docs).where("source = 'hot'").collect()]
+    assert len(hot) == 40 and max(hot) - min(hot) <= 2
+    few = sharding.shards(odd, 4).collect()
+    assert sorted(np.bincount([r.shard for r in few])) == [2, 3, 3, 3]
+    assert {r.size for r in few if r.doc_id in (3, 4)} == {16}
+    assert sharding.shards(empty).count() == 0
+
+
+# --- fingerprints ---------------------------------------------------------------------------------
+
+def test_fingerprints(odd, empty):
+    found = rows_of(fingerprint.fingerprints(odd))
+    assert len(found) == 11
+    order = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for row, after in zip(order, order[1:] + order[:1]):
+        text, following = row[1] or "", after[1] or ""
+        edited = text[:len(text) - len(text) // 2] + following[:len(text) // 2]
+        want.append((row[0], len(text), hashlib.sha256(edited.encode()).hexdigest(),
+                     fingerprint.fingerprint(text), fingerprint.fingerprint(edited)))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    assert sorted((r[:5] for r in found), key=key) == sorted(want, key=key)
+    assert all(0 <= r[5] <= 1 and 0 <= r[6] <= 1 for r in found)
+    assert fingerprint.fingerprints(empty).count() == 0
+
+
+def test_likeness_and_changes():
+    lines = [f"Line {i} tells of river {i * i} and of nothing else." for i in range(40)]
+    one = fingerprint.fingerprint("\n".join(lines))
+    lines[20] = "This one is new."
+    other = fingerprint.fingerprint("\n".join(lines))
+    assert 0.9 < fingerprint.likeness(one, other) < 1
+    assert len(fingerprint.changes(one, other)) == 1
+    assert fingerprint.likeness(one, one) == 1 and fingerprint.changes(one, one) == []
+    assert fingerprint.fingerprint("a\n\nb") != fingerprint.fingerprint("a\nb")
+    assert fingerprint.likeness(fingerprint.fingerprint(""), one) == 0
+
+
+# --- Jaccard join ---------------------------------------------------------------------------------
+
+def word_sets(text: str) -> set:
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(rows: list[tuple]) -> list[tuple]:
+    sets = [word_sets(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    lowest: dict[int, int] = {}
+    for i, row in enumerate(rows):
+        lowest[root(i)] = min(row[0], lowest.get(root(i), row[0]))
+    return sorted((row[0], lowest[root(i)], links[i]) for i, row in enumerate(rows))
+
+
+def test_join_is_brute_force(spark, empty):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for group in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(20, 120))]
+        for _ in range(rng.choice([1, 2, 3, 60])):
+            words = list(base)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000, ""), (1001, None), (1002, "one two"), (1003, "One, two!"), (1004, "!!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.jaccard_join(docs)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in found.collect())
+    assert got == brute(rows)
+    kept = {r.doc_id for r in jaccard.keep_one_of_each(docs).collect()}
+    assert kept == {class_id for _, class_id, _ in got}
+    assert jaccard.jaccard_join(empty).count() == 0
+
+
+def test_join_on_odd_rows(odd):
+    found = sorted(rows_of(jaccard.jaccard_join(odd)), key=str)
+    assert len(found) == 11
+    assert [r for r in found if r[0] == 1] == [(1, 1, 1, 2)] * 2
+    assert (2, 1, 1, 2) in found and (3, 3, 3, 0) in found and (4, 4, 4, 0) in found
+    kept = jaccard.keep_one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (1, 2, 3)) == [1, 3]
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
+    got = dict(rows_of(components.components(spark.createDataFrame(links, "a long, b long"))))
+    assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 140)} == {100}
+    assert 200 not in got
+
+
+def test_runs_needed_grow_with_depth_and_recall():
+    assert jaccard.runs_needed(0.8, 1, 0.99) < jaccard.runs_needed(0.8, 5, 0.99)
+    assert jaccard.runs_needed(0.8, 3, 0.9) < jaccard.runs_needed(0.8, 3, 0.999)
+
+
+# --- decontamination ------------------------------------------------------------------------------
+
+def edit_distance_anywhere(pattern: str, text: str) -> int:
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(pattern, 1):
+        before, row = row, [i]
+        for j, b in enumerate(text, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+    return min(row)
+
+
+def test_edit_search_is_the_plain_table():
+    rng = random.Random(6)
+    for _ in range(300):
+        pattern = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 12)))
+        text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))
+        assert decontaminate.edit_search(pattern, text)[0] == edit_distance_anywhere(pattern, text)
+
+
+def test_contamination(spark, odd, empty):
+    item = ("Which of these rivers runs north? It turned past the mill, said the miller, and nobody "
+            "asked him again until the winter came. Then the answer was plain to all of them.")
+    words = item.split(" ")
+    near = " ".join(words[:10] + ["certainly"] + words[11:])
+    docs = spark.createDataFrame([
+        (1, GOOD + item + " " + GOOD), (2, GOOD + near + " " + GOOD), (3, GOOD * 4),
+        (4, OTHER + item.upper().replace(" ", "!! ")), (5, None), (6, "see item seven here"),
+        (7, item[:60])], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "item seven")],
+                                      "item_id long, text string")
+    found = decontaminate.contamination(docs, benchmark)
+    got = {(r.doc_id, r.item_id): r for r in found.collect()}
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (6, 4)}
+    row = got[1, 1]
+    assert (GOOD + item)[row.start:row.stop] == item.rstrip(".") and row.distance == 0
+    assert got[2, 1].distance > 0
+    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark).collect()} == {
+        3, 5, 7}
+    assert decontaminate.contamination(odd, benchmark).count() == 0
+    assert decontaminate.contamination(empty, benchmark).count() == 0
+    assert decontaminate.contamination(odd, benchmark.limit(0)).count() == 0
+    split = decontaminate.contamination(docs, benchmark, block=1)
+    assert {(r.doc_id, r.item_id) for r in split.collect()} == set(got)
+
+
+# --- classifiers and languages --------------------------------------------------------------------
+
+def test_quality_network_learns():
+    rng = random.Random(7)
+    good = [GOOD * rng.randint(1, 4) + str(i) for i in range(60)]
+    bad = [" | ".join(rng.choices(GOOD.split(), k=60)) for _ in range(60)]
+    texts, marks = good + bad, np.array([1] * 60 + [0] * 60)
+    net = quality.fit(texts[::2], marks[::2], steps=120)
+    score = quality.score(net, texts[1::2])
+    assert ((score > 0.5) == marks[1::2]).mean() > 0.95
+    alone = np.concatenate([quality.score(net, [t]) for t in texts[1::2]])
+    assert np.allclose(alone, score, atol=1e-6)
+
+
+def test_gradients_are_differences():
+    net = quality.Network.fresh(3)
+    for name in quality.NAMES:
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    texts, marks = [GOOD, "a | b | c", OTHER * 4], np.array([1.0, 0.0, 1.0])
+    grads = quality._gradients(net, texts, marks, np.ones(3))
+
+    def loss() -> float:
+        p = quality.score(net, texts)
+        return float(-(marks * np.log(p) + (1 - marks) * np.log(1 - p)).mean())
+
+    for name, place in (("mix", (3, 2)), ("out", (1,)), ("filters", (5, 40)), ("embed", (101, 2))):
+        values, step = getattr(net, name), 1e-3
+        old = values[place]
+        values[place] = old + step
+        up = loss()
+        values[place] = old - step
+        down = loss()
+        values[place] = old
+        assert abs((up - down) / (2 * step) - grads[quality.NAMES.index(name)][place]) < 2e-3
+
+
+def test_toxicity_learns():
+    rng = random.Random(8)
+    plain = [" ".join(rng.choices(GOOD.lower().split(), k=90)) for _ in range(160)]
+    marks = np.arange(160) % 2
+    texts = [t + " grubbleskort you wretched snivelard " * 2 if m else t
+             for t, m in zip(plain, marks)]
+    model = toxicity.fit(texts[:120], marks[:120])
+    assert ((model.score(texts[120:]) > 0.5) == marks[120:]).mean() > 0.95
+    assert toxicity.fit(texts[:4], np.zeros(4)).score(texts[:2]).max() < 1e-9
+
+
+def test_classifiers_on_odd_rows(odd, empty, labels):
+    for made in (quality.quality(odd, labels), toxicity.toxicity(odd, labels)):
+        rows = made.collect()
+        assert len(rows) == 11 and all(0 <= r.score <= 1 for r in rows)
+        assert {r.held_out for r in rows if r.doc_id == 3} == {zlib.crc32(b"3") % 5 == 0}
+        assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
+    assert quality.quality(empty, labels).count() == 0
+    assert toxicity.toxicity(odd, labels.limit(0)).where("score > 0.01").count() == 0
+
+
+def test_language(spark, odd, empty):
+    docs = spark.createDataFrame(
+        [(i, (GOOD if i % 2 else OTHER)[i % 40:], "en" if i % 2 else "de") for i in range(80)]
+        + [(100, None, "en"), (101, "12 ... !", "en")], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in language.language(docs).collect()}
+    assert all(rows[i].lang_pred == ("en" if i % 2 else "de") for i in range(80))
+    assert {(rows[i].lang_pred, rows[i].score) for i in (100, 101)} == {("und", 0.0)}
+    assert rows[5].held_out == (zlib.crc32(b"5") % 4 == 2)
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(80))
+    assert language.language(odd).count() == 11 and language.language(empty).count() == 0
+    assert language.keep_identified(odd).columns == odd.columns
+
+
+# --- secrets --------------------------------------------------------------------------------------
+
+def test_secrets(spark, odd, empty):
+    key = hashlib.sha1(b"k").hexdigest()
+    docs = spark.createDataFrame(
+        [(i, GOOD + str(i)) for i in range(60)]
+        + [(100, f'Here token = "{key}" stands twice: token = "{key}" .'),
+           (101, "Here token = \"river_mill_village_wheel\" is named."),
+           (102, f"See commit {key} of last week."), (103, "Card 4556737586899855 and more.")],
+        "doc_id long, text string")
+    found = secrets.secrets(docs).collect()
+    assert [r.is_secret for r in found if r.doc_id == 100] == [True, True]
+    assert not any(r.is_secret for r in found if r.doc_id != 100)
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[100] == 'Here token = "[SECRET]" stands twice: token = "[SECRET]" .'
+    assert clean[102].count(key) == 1 and len(clean) == 64
+    assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == 11
+    assert secrets.secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
+def test_secret_scan_is_native(spark, odd):
+    plan = secrets.secrets(odd)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- pipeline -------------------------------------------------------------------------------------
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    key = hashlib.sha1(b"z").hexdigest()
+    item = " ".join(f"Question word{i} of the test item" for i in range(6))
+    texts = [GOOD + " ".join(f"en{i * j}" for j in range(40)) for i in range(1, 30)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    rows += [(50, texts[3], "en", "a", 1), (51, GOOD + item, "en", "b", 1), (52, None, "en", "b", 0),
+             (53, "123", "en", "b", 3), (54, f'{OTHER} token = "{key}"', "de", "b", 9)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} == {*range(29), 54}
+    hidden = f'{OTHER} token = "[SECRET]"'
+    ids = [*library().encode(hidden, add_special_tokens=False).ids, 0]
+    assert [r.ids_crc32 for r in found if r.doc_id == 54] == [
+        zlib.crc32(np.array(ids, "<u4").tobytes())]
