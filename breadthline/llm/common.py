@@ -13,7 +13,7 @@ from breadthline.session import land
 
 #: Python workers get their rows in Arrow batches; operators cut them into pieces of this many
 #: characters, so that one batch of very long texts never has to fit in numpy arrays at once.
-PIECE_CHARS = 4_000_000
+PIECE_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -173,7 +173,7 @@ def merge_all(vocab: Vocabulary, sequences: list[bytes]) -> tuple[np.ndarray, np
 class Kept:
     """Results by stretch, for one Python worker; emptied when it has grown to its limit."""
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 1_200_000,
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 600_000,
                  longest: int = 64) -> None:
         self.compute, self.limit, self.longest = compute, limit, longest
         self.found: dict[str, object] = {}
