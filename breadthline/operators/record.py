@@ -131,10 +131,13 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 def forward_returns(
     bars: DataFrame, horizons: tuple[int, ...] = c.HORIZONS_WEEKS,
-    guard: bool = True, threshold: float = c.IMPLAUSIBLE_MOVE,
+    guard: bool = True, threshold: float = c.IMPLAUSIBLE_MOVE, due: DataFrame | None = None,
 ) -> DataFrame:
     """Return in percent from each session to the first session `weeks` later or after.
 
+    With `due` (snapshot_date, horizon_weeks) only these starts and horizons are answered: bars
+    before the oldest start are not read, and no other start is multiplied by the horizons.
+
     Rows are read newest first, where "the first session on or after d + k" is
     the last row of a running range frame. Jumps between both ends are the
     difference of two running counts in the same order. One sort per symbol
@@ -142,6 +145,10 @@ def forward_returns(
     """
     newest_first = Window.partitionBy("symbol").orderBy(F.col("back"))
     so_far = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if due is not None:
+        # One session before the oldest start is enough to know its own jump.
+        oldest = due.agg(F.date_sub(F.min("snapshot_date"), 10)).scalar()
+        bars = bars.filter(F.col("date") >= oldest)
     closes = bars.filter(F.col("close").isNotNull()).select(
         "symbol", "date", "close", (-F.unix_date("date")).alias("back")
     )
@@ -155,6 +162,9 @@ def forward_returns(
         for w in horizons
     }
     closes = closes.withColumns(ends)
+    if due is not None:
+        starts = due.select(F.col("snapshot_date").alias("date")).distinct()
+        closes = closes.join(starts, "date", "left_semi")
     rows = closes.select(
         "symbol", F.col("date").alias("snapshot_date"), "close", "jump", "jumps",
         F.inline(F.array(*[
@@ -162,6 +172,10 @@ def forward_returns(
             for w in horizons
         ])),
     )
+    if due is not None:
+        rows = rows.join(
+            due.select("snapshot_date", "horizon_weeks"), ["snapshot_date", "horizon_weeks"],
+            "left_semi")
     crossed = (F.col("jumps") - F.col("jump")) - (F.col("end.jumps") - F.col("end.jump")) > 0
     sound = F.col("close") > 0
     if guard:
@@ -217,11 +231,12 @@ def grade(
     `snapshots` carries snapshot_date and the columns the cohorts read.
     """
     by_pair = ["snapshot_date", "horizon_weeks"]
-    returns = forward_returns(bars, guard=guard, threshold=threshold)
+    due = land(due, "due")
+    returns = forward_returns(bars, guard=guard, threshold=threshold, due=due)
     # The benchmark is one series: one row per session, whatever the universe.
     index = forward_returns(
         benchmark.select(F.lit("benchmark").alias("symbol"), "date", "close"),
-        guard=guard, threshold=threshold,
+        guard=guard, threshold=threshold, due=due,
     ).select(*by_pair, F.col("return_pct").alias("_benchmark"))
     tests = cohort_tests()
     members = snapshots.select(

@@ -31,13 +31,30 @@ class AuditResult:
     notes: list[str] = field(default_factory=list)
 
 
-def _previous(bars, universe, size, newest, min_pct, benchmark, min_sessions):
-    """The same snapshot one covered session earlier; its absence is survivable."""
+def admitted(bars: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars of the universe without malformed symbols, and the malformed ones.
+
+    Symbols outside the universe have no say in closed sessions or coverage; a symbol with two rows
+    for one session is left out as a whole and named with its reason later.
+    """
+    names = universe.select(F.col("Symbol").alias("symbol"))
+    inside = bars.join(names, "symbol", "left_semi")
+    rejected = land(boundary.duplicate_symbols(inside), "rejected")
+    return inside.join(rejected, "symbol", "left_anti"), rejected
+
+
+def previous_snapshot(bars, universe, current, newest, min_pct, benchmark, min_sessions):
+    """(boundary, snapshot) one covered session earlier; their absence is survivable.
+
+    Coverage is that of the whole universe; ranked are the symbols of the current snapshot, so that
+    both sides compare the same symbols with each other.
+    """
     try:
-        day = boundary.information_boundary(bars, size, newest, min_pct)
+        day = boundary.information_boundary(bars, universe.count(), newest, min_pct)
     except boundary.CoverageError:
         return None, None
-    return day, research(bars, universe, day, benchmark, min_sessions)
+    same = universe.join(current.select("Symbol"), "Symbol", "left_semi")
+    return day, research(bars, same, day, benchmark, min_sessions)
 
 
 def run_audit(
@@ -53,6 +70,7 @@ def run_audit(
     """
     decision, start, end = boundary.resolve_dates(decision, start)
     bars = bars.filter(F.col("date").between(F.lit(start), F.lit(end)))
+    bars, rejected = admitted(bars, universe)
     closed = boundary.non_trading_sessions(bars)
     # Read by the coverage, both snapshots, the trends and the checks.
     bars = land_by_symbol(boundary.without_sessions(bars, closed), "bars")
@@ -64,12 +82,13 @@ def run_audit(
         return AuditResult(day, notes=[f"published snapshot already describes {floor}"])
 
     names = universe.withColumnRenamed("Symbol", "symbol")
-    missing = boundary.unavailable(names, bars, day)
+    missing = land(boundary.unavailable(names, bars, day, rejected), "excluded")
     excluded = missing.count()
     boundary.enforce_coverage(excluded, size, max_loss_pct)
 
     current = land(research(bars, universe, day, benchmark, min_sessions), "research")
-    before, previous = _previous(bars, universe, size, day, min_pct, benchmark, min_sessions)
+    before, previous = previous_snapshot(
+        bars, universe, current, day, min_pct, benchmark, min_sessions)
     inside = boundary.rows_until(bars, day).join(
         current.selectExpr("Symbol AS symbol"), "symbol", "left_semi"
     )
@@ -84,7 +103,8 @@ def run_audit(
     if complaints:
         raise AuditError("reconciliation failures:\n" + "\n".join(complaints[:100]))
 
-    events = corporate.report(inside, day, size, threshold)
+    published = current.count()
+    events = corporate.report(inside, day, published, threshold)
     current = corporate.flag_rows(current, events)
     history = aggregates.breadth_history(trends, c.BREADTH_SESSIONS)
     if benchmark is not None:
@@ -92,10 +112,11 @@ def run_audit(
 
     result = AuditResult(day, before, published=True)
     sinks.publish(current, folder, "research")
+    sinks.publish(missing, folder, "excluded")
     sinks.publish(events, folder, "corporate_actions")
     if previous is not None:
         sinks.publish(
-            corporate.flag_rows(previous, corporate.report(inside, before, size, threshold)),
+            corporate.flag_rows(previous, corporate.report(inside, before, published, threshold)),
             folder, "previous",
         )
     else:

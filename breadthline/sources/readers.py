@@ -154,6 +154,12 @@ class Snapshot:
         return all(n in self.research.columns for n in columns)
 
 
+def _must_be_absent(error: PySparkException) -> None:
+    """Only a path that is not there means "not published"; a table that cannot be read is a fault."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def load_snapshot(spark: SparkSession, folder: str, constituents: DataFrame) -> Snapshot:
     """Read the published tables of one run as one set, from one folder."""
     folder = folder.rstrip("/")
@@ -165,13 +171,15 @@ def load_snapshot(spark: SparkSession, folder: str, constituents: DataFrame) ->
             snapshot.missing[key] = f"This snapshot carries no {', '.join(absent)}."
     try:
         snapshot.previous = read_research(spark, f"{folder}/previous", constituents)
-    except PySparkException:
+    except PySparkException as error:
+        _must_be_absent(error)
         snapshot.missing["previous"] = (
             "No previous-session snapshot has been published, so changes cannot be computed."
         )
     try:
         snapshot.breadth = read_breadth(spark, f"{folder}/breadth")
-    except PySparkException:
+    except PySparkException as error:
+        _must_be_absent(error)
         snapshot.missing["breadth"] = (
             "No breadth history has been published, so the trend cannot be drawn."
         )

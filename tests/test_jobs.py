@@ -55,6 +55,59 @@ def test_audit_publishes_then_refuses_to_go_back(spark, market, tmp_path):
     assert not back.published
 
 
+def test_audit_leaves_out_malformed_symbols_and_outsiders(spark, market, tmp_path):
+    """A doubled history is excluded by name; outsiders do not move the boundary."""
+    bars, names, index = market
+    doubled = bars.filter("symbol = 'S03'")
+    stale = [f"S{i:02}" for i in range(4, 7)]
+    some = bars.filter(~(F.col("symbol").isin(stale) & (F.col("date") == day("2026-08-21"))))
+    outsiders = bars.filter("symbol = 'S01'").crossJoin(spark.range(30)).withColumn(
+        "symbol", F.concat(F.lit("X"), F.col("id").cast("string"))).drop("id")
+    folder = str(tmp_path / "out")
+    done = audit.run_audit(
+        spark, some.unionByName(doubled).unionByName(outsiders), names, DECISION, folder, index,
+        "INDEX", max_loss_pct=10)
+    assert done.published and done.boundary == day("2026-08-20")
+    excluded = {r["symbol"]: r["reason"]
+                for r in spark.read.parquet(f"{folder}/excluded").collect()}
+    assert excluded == {"S03": boundary.DUPLICATES}
+    current = spark.read.parquet(f"{folder}/research")
+    assert current.count() == 24
+    previous = spark.read.parquet(f"{folder}/previous")
+    assert previous.join(current, "Symbol", "left_anti").isEmpty()
+
+
+def test_previous_snapshot_ranks_the_symbols_of_the_current_one(spark, market):
+    bars, names, index = market
+    kept = names.filter("Symbol <> 'S02'")
+    day_, previous = audit.previous_snapshot(bars, names, kept, day("2026-08-21"), 90.0, index, 200)
+    want = research.research(bars, kept, day_, index, 200)
+    columns = ["Symbol", "RS_Score", "Action"]
+    assert sorted(previous.select(*columns).collect()) == sorted(want.select(*columns).collect())
+    assert previous.filter("Symbol = 'S02'").isEmpty()
+
+
+def test_unreadable_tables_are_not_unpublished(spark, market, tmp_path):
+    bars, names, index = market
+    folder = tmp_path / "out"
+    audit.run_audit(spark, bars, names, DECISION, str(folder), index, "INDEX")
+    for part in (folder / "previous").glob("*.parquet"):
+        part.write_bytes(b"broken")
+    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
+        readers.load_snapshot(spark, str(folder), names).previous.count()
+
+
+def test_due_returns_are_the_same_rows(spark, market):
+    bars, _, _ = market
+    days = [day("2026-02-02"), day("2026-03-02")]
+    due = spark.createDataFrame([(days[0], 4), (days[1], 4), (days[1], 13)],
+                                "snapshot_date date, horizon_weeks int")
+    keys = ["symbol", "snapshot_date", "horizon_weeks", "end_date", "return_pct"]
+    some = record.forward_returns(bars, due=due).select(*keys)
+    every = record.forward_returns(bars).join(due, ["snapshot_date", "horizon_weeks"], "left_semi")
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.select(*keys).collect()))
+
+
 def test_audit_stops_before_writing(spark, market, tmp_path):
     bars, names, index = market
     folder = str(tmp_path / "out")

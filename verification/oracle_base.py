@@ -6,6 +6,8 @@ that a subquery looks up, and the rows between are joined to it.
 
 from __future__ import annotations
 
+import re
+
 from verification.inputs import DECISION, VARIANTS
 
 D = f"DATE '{DECISION.isoformat()}'"
@@ -258,7 +260,7 @@ def snapshot(variant: str, min_sessions: int | None = None) -> str:
 
 
 def two_snapshots(variant: str) -> str:
-    return (
-        f"{snapshot(variant)}, {boundary(variant, 'bnd2', '(SELECT b FROM bnd)')}, "
-        f"{research(variant, p='p_', bnd='bnd2')}"
-    )
+    """Both snapshots; the earlier one ranks the symbols of the later one only."""
+    earlier = re.sub(r"\bbars\b", "kept_bars", research(variant, p="p_", bnd="bnd2"))
+    return f"""{snapshot(variant)}, {boundary(variant, 'bnd2', '(SELECT b FROM bnd)')},
+kept_bars AS (SELECT * FROM bars WHERE symbol IN (SELECT "Symbol" FROM research)), {earlier}"""

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from breadthline import config as c
 from breadthline.operators import corporate, indicators, movers, reconcile, record, swings
 from breadthline.operators import boundary as b
+from breadthline.plans import audit
 from breadthline.plans import research as plans
+from breadthline.session import land
 from verification import oracle_base as o
 from verification import oracle_swings as sw
 from verification.inputs import DECISION
@@ -23,10 +26,43 @@ NATION_TWO = o.two_snapshots("nation")
 def _pair(i):
     bars, bench, names = i.landed_bars(by_symbol=True), i.landed_benchmark(), i.universe()
     day = i.boundary()
-    before = i.boundary(day)
-    return tuple(
-        plans.research(bars, names, d, bench, i.variant.min_sessions) for d in (day, before)
-    )
+    current = land(plans.research(bars, names, day, bench, i.variant.min_sessions), "current")
+    _, previous = audit.previous_snapshot(
+        bars, names, current, day, i.variant.min_pct, bench, i.variant.min_sessions)
+    return current, previous
+
+
+@register("previous_snapshot", "Symbol, Date:d, RS_Score:f, Stage, Action, TT8_RS", "settled",
+          o.two_snapshots("settled"), "p_research")
+def _(i):
+    return _pair(i)[1]
+
+
+@register(
+    "audit_excluded", "symbol, reason", "settled",
+    f"""WITH {o.bars('settled')}, doubled AS (
+      SELECT symbol, date FROM bars UNION ALL
+      SELECT symbol, date FROM bars WHERE symbol LIKE 'U%' AND day(date) = 1),
+    bad AS (SELECT DISTINCT symbol FROM (
+      SELECT symbol FROM doubled GROUP BY symbol, date HAVING count(*) > 1)),
+    clean AS (SELECT * FROM bars WHERE symbol NOT IN (SELECT symbol FROM bad)),
+    {re.sub(r"FROM bars", "FROM clean", o.boundary('settled'))}, result AS (
+      SELECT u."Symbol" AS symbol, CASE
+        WHEN u."Symbol" IN (SELECT symbol FROM bad) THEN 'Duplicate market-data sessions detected'
+        WHEN k.symbol IS NULL THEN 'the provider returned no history'
+        WHEN k.d IS NULL THEN 'No completed market session exists before decision date'
+        ELSE 'no completed session at the global boundary ' || (SELECT b FROM bnd)::VARCHAR
+          || '; its latest is ' || k.d::VARCHAR END AS reason
+      FROM universe u LEFT JOIN (
+        SELECT symbol, max(date) FILTER (WHERE close IS NOT NULL AND date <= (SELECT b FROM bnd)) AS d
+        FROM clean GROUP BY symbol) k ON k.symbol = u."Symbol"
+      WHERE k.d IS NULL OR k.d <> (SELECT b FROM bnd))""")
+def _(i):
+    bars, names = i.landed_bars(), i.universe()
+    doubled = bars.unionByName(bars.where("symbol LIKE 'U%' AND day(date) = 1"))
+    clean, rejected = audit.admitted(doubled, names)
+    day = b.information_boundary(clean, names.count(), DECISION, i.variant.min_pct)
+    return b.unavailable(names.withColumnRenamed("Symbol", "symbol"), clean, day, rejected)
 
 
 JOINED = """j AS (SELECT r.*, p."Stage" AS p_stage, p.sk AS p_sk, p."Action" AS p_action,
