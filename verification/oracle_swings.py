@@ -92,11 +92,10 @@ def contractions() -> str:
       FROM (SELECT run, legs, unnest(range(1, len(legs) + 1)) AS n FROM legs))"""
 
 
-def footprints(first: str, last: str, thresholds: tuple[float, ...]) -> str:
+def footprints(thresholds: tuple[float, ...]) -> str:
     starts = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
     runs = f"""{_recursive(f"WITH {o.bars('supplier')}")}, asked AS (
-      SELECT symbol, date AS session, initial FROM bars, (VALUES {starts}) v(initial)
-      WHERE date BETWEEN DATE '{first}' AND DATE '{last}'),
+      SELECT symbol, date AS session, initial FROM bars, (VALUES {starts}) v(initial)),
     runs AS (
       SELECT symbol || '|' || session || '|' || initial AS run, a.symbol, session, initial, b.date, high, low,
         row_number() OVER (PARTITION BY symbol, session, initial ORDER BY b.date) AS i
@@ -120,7 +119,7 @@ def footprints(first: str, last: str, thresholds: tuple[float, ...]) -> str:
 
 
 def recoveries() -> str:
-    return f"""{numbered('nation', f"date BETWEEN DATE '1998-01-01' AND DATE '{DECISION}'")},
+    return f"""{numbered('nation', f"date <= DATE '{DECISION}'")},
     v AS (
       SELECT symbol, 1::BIGINT AS i, high AS peak, date AS pd, low AS trough,
         NULL::DATE AS od, NULL::DOUBLE AS op, NULL::DOUBLE AS ot FROM numbered WHERE i = 1

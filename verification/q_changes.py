@@ -380,9 +380,6 @@ def _(i):
 
 # --- swings ------------------------------------------------------------------------------
 
-MONTH = (dt.date(1998, 12, 1), dt.date(1998, 12, 31))
-
-
 @register("swing_points", "symbol, seq:i, date:d, price:f, kind", "nation", sw.swings(), "swings")
 def _(i):
     return swings.swing_points(i.bars())
@@ -402,15 +399,15 @@ def _(i):
 
 @register("vcp_footprints",
           "symbol, session:d, Base_Weeks:f, Deepest_Pct:f, Tightest_Pct:f, Contractions:i, VCP_Pivot:f, label",
-          "supplier", sw.footprints(*MONTH, (c.CASCADE_INITIAL_PCT,)), "labelled")
+          "supplier", sw.footprints((c.CASCADE_INITIAL_PCT,)), "labelled")
 def _(i):
-    return swings.footprints(i.bars(), *MONTH).withColumn("label", swings.footprint_label())
+    return swings.footprints(i.bars()).withColumn("label", swings.footprint_label())
 
 
 @register("recovery_contractions", "symbol, seq:i, peak_date:d, peak:f, trough:f, depth_pct:f",
           "nation", sw.recoveries(), "legs")
 def _(i):
-    return swings.recovery_contractions(i.bars(), dt.date(1998, 1, 1), DECISION)
+    return swings.recovery_contractions(i.bars(), None, DECISION)
 
 
 @register("final_contraction_pivot", "symbol, pivot:f, depth_pct:f", "nation",
@@ -419,15 +416,15 @@ def _(i):
             FROM legs GROUP BY symbol)""")
 def _(i):
     return swings.final_pivots(
-        swings.recovery_contractions(i.bars(), dt.date(1998, 1, 1), DECISION)
+        swings.recovery_contractions(i.bars(), None, DECISION)
     )
 
 
 @register("footprint_sweep", "symbol, initial_pct:f, session:d, score:f, label, matches", "supplier",
-          f"""{sw.footprints(*MONTH, c.SWEEP_THRESHOLDS)}, result AS (
+          f"""{sw.footprints(c.SWEEP_THRESHOLDS)}, result AS (
             SELECT *, abs("Contractions" - 3) * 3 + abs("Deepest_Pct" - 32) AS score,
               "Contractions" = 3 AS matches FROM labelled WHERE "Base_Weeks" IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY symbol, initial_pct ORDER BY score, session) = 1)""")
 def _(i):
     want = {"contractions": 3, "deepest": 32.0}
-    return swings.threshold_sweep(i.bars(), *MONTH, want)
+    return swings.threshold_sweep(i.bars(), None, None, want)
