@@ -130,14 +130,18 @@ def training_sample(docs: DataFrame, per_language: int) -> pd.DataFrame:
     """
     open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                            & F.col("doc_id").isNotNull() & (split_of(F.col("doc_id"), 4) != 2))
-    # A threshold on the hash cuts each language down to about the sample where the rows are;
-    # only what is left is ranked.
-    hashed = open_rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
-    near = hashed.join(sizes, "lang").where(
-        (F.col("n") <= 4 * per_language)
-        | (F.col("h") < F.lit(-2.0 ** 63) + share * F.lit(2.0 ** 64)))
+    # Counts of 1,024 ranges of the hash say in which ranges a language's sample lies. Only rows of
+    # those ranges are ranked, so a language that has most rows is never dealt to one task.
+    hashed = open_rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
+        "span", F.shiftright("h", 54))
+    before = W.Window.partitionBy("lang").orderBy("span").rowsBetween(
+        W.Window.unboundedPreceding, -1)
+    spans = (
+        hashed.groupBy("lang", "span").agg(F.count("*").alias("n"))
+        .withColumn("lower", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .where(F.col("lower") < per_language).select("lang", "span")
+    )
+    near = hashed.join(spans, ["lang", "span"], "left_semi")
     order = W.Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = (
         near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
