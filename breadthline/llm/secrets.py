@@ -1,12 +1,14 @@
 """Secret scan: candidate strings, and a random forest that removes the false positives.
 
 Candidates are long runs of key characters that mix letters and digits, very long runs, and whatever
-is assigned to a name like token, secret, password or key. The forest sees a candidate's length, its
+is assigned to a name like token, secret, password or key. Every run of a word is looked at, so one
+word (compact JSON, a URL, `user=..;password=..`) may give several; a run keeps its base64 padding,
+and dots join its segments (JWT). The forest sees a candidate's length, its
 character transitions, how much of it dictionary words cover, its path and its neighbouring words,
 and is trained on labelled findings: columns before, candidate, after, path, label.
 
 The given tables hold no labelled findings, so `examples` makes them out of documents: digests in
-assignments are true, and words, placeholders, checksums under their names, numbers and repeated
+assignments, padded base64, JWT, values in JSON, URLs and backticks are true, and words, placeholders, checksums under their names, numbers and repeated
 characters are false. Any other labelled table with these columns does as well.
 
 All of it is DataFrame and SQL functions; the forest is Spark's own.
@@ -28,6 +30,15 @@ from breadthline.llm.common import split_of
 
 NAMES = "token|secret|passw|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|credential|auth"
 RUN = "[A-Za-z0-9+/_=-]"
+KEY = "[A-Za-z0-9+/_-]"
+QUOTE = "[\"'`]"
+#: What stands before a run, and the run. Equals signs at its end are padding unless a value follows.
+#: A dot joins segments of a JWT, and of other runs if they are long. Repeats are bounded because
+#: Java matches them recursively; what is left over is the next run.
+EACH_RUN = (f"(?s)\\G(.*?)((?:eyJ[A-Za-z0-9_-]{{5,}}(?:\\.{{1,2}}[A-Za-z0-9_-]+){{1,4}}"
+            f"|{KEY}{{8,}}(?:\\.{KEY}{{8,}}){{0,8}})(?:={{1,2}}(?!{QUOTE}?{RUN}))?)")
+#: A name with the sign that assigns to it, at the end of what stands before a run.
+NAMED = f"(?i)({NAMES})[^\\s,;&?{{}}]*\\s*[=:]>?\\s*\\\\?{QUOTE}?$"
 #: Documents worth splitting into words: a long run with a digit, a very long run, or a name.
 WORTH = f"(?=[A-Za-z0-9+/_-]{{16}})[A-Za-z+/_-]*[0-9]|{RUN}{{32}}|(?i:{NAMES})"
 
@@ -69,8 +80,8 @@ def features(findings: DataFrame) -> DataFrame:
         "hex": has(c, "^[0-9a-fA-F]+$"),
         "covered": 1 - F.length(F.regexp_replace(low, WORDS, "")) / size,
         "named": has(before, f"(?i)({NAMES})"),
-        "assigned": has(before, "[=:]\\s*[\"']?$"),
-        "quoted": has(before, "[\"']$"),
+        "assigned": has(before, f"[=:]>?\\s*{QUOTE}?$"),
+        "quoted": has(before, f"{QUOTE}$"),
         "benign": has(near, f"(?i)({BENIGN})"),
         "path_test": has(F.col("path"), "(?i)(test|example|sample|fixture|mock|docs?/)"),
         "path_config": has(F.col("path"), "(?i)(env|config|secret|\\.ya?ml|\\.ini|\\.pem|\\.key)"),
@@ -79,7 +90,8 @@ def features(findings: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
-    """doc_id, place (number of the word), before, candidate, after, path."""
+    """doc_id, place (number of the word, the same for all of its runs), before, candidate, after,
+    path."""
     path = F.lit("") if path is None else path
     words = F.col("words")
 
@@ -92,7 +104,7 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
                         at(-1).alias("b1"), at(1).alias("after"))
 
     likely = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(
-        f"{RUN}{{32}}|(?=.*[0-9]){RUN}{{8}}") | F.get(words, i - 1).rlike("[=:][\"']?$")
+        f"{RUN}{{32}}|(?=.*[0-9]){RUN}{{8}}") | F.get(words, i - 1).rlike(f"[=:]>?{QUOTE}?$")
         | F.get(words, i).rlike("[=:]"))
     words_found = (
         docs.where(F.col("text").rlike(WORTH))
@@ -100,16 +112,27 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
         .select("doc_id", "path", F.explode(F.transform(likely, near)).alias("w"))
         .select("doc_id", "path", "w.*")
     )
-    # What stands before the run inside its own word (an opening quote, `name=`) is a neighbour.
-    own = F.regexp_extract("word", "^([^=:]*[=:][\"']?|[\"'(<\\[]+)", 1)
-    body = F.when(F.length(own) > 0, F.expr("substring(word, length(own) + 1)")).otherwise(
-        F.col("word"))
-    found = words_found.withColumn("own", own).withColumn("body", body).withColumn(
-        "candidate", F.regexp_extract("body", f"^({RUN}{{8,}})", 1)).withColumn(
-        "before", F.concat_ws(" ", "b0", "b1", "own"))
+    gaps = F.regexp_extract_all("word", F.lit(EACH_RUN), F.lit(1))
+    runs = F.regexp_extract_all("word", F.lit(EACH_RUN), F.lit(2))
+
+    def found_at(run: Column, i: Column) -> Column:
+        """A run with what stands before it inside its own word (an opening quote, `name=`)."""
+        own = F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("gaps", i))
+        return F.struct(F.right(own, F.lit(200)).alias("own"), run.alias("candidate"))
+
+    found = (
+        words_found.withColumns({"gaps": gaps, "runs": runs})
+        .select("doc_id", "path", "place", "b0", "b1", "after",
+                F.explode(F.transform("runs", found_at)).alias("r"))
+        .select("doc_id", "path", "place", "b0", "b1", "after", "r.*")
+    )
+    # Behind a field's end the names of the fields before it say nothing about the run.
+    field = F.regexp_replace("own", "(?s)^.*[,;&?{}]", "")
+    found = found.withColumn("before", F.when(F.length(field) < F.length("own"), field).otherwise(
+        F.concat_ws(" ", "b0", "b1", "own")))
     c = F.col("candidate")
     mixed = (F.length(c) >= 16) & c.rlike("[0-9]") & c.rlike("[A-Za-z]|^[0-9]+$")
-    named = F.col("before").rlike(f"(?i)({NAMES})\\S*\\s*[=:]\\s*[\"']?$")
+    named = F.col("before").rlike(NAMED)
     return found.where(mixed | (F.length(c) >= 32) | ((F.length(c) >= 8) & named)).select(
         "doc_id", "place", "before", "candidate", "after", "path")
 
@@ -128,7 +151,10 @@ def examples(docs: DataFrame, limit: int = 2_000) -> DataFrame:
                 F.md5(F.concat("text", F.lit("x"))).alias("c"))
     )
     word = [F.coalesce(F.get("w", F.lit(i)), F.lit("word")) for i in range(6)]
-    plain = F.regexp_replace(F.base64(F.unhex("b")), "[+/=]", "")
+    coded = F.base64(F.unhex("b"))
+    plain = F.regexp_replace(coded, "[+/=]", "")
+    jwt = F.concat_ws(".", F.lit("eyJhbGciOiJIUzI1NiJ9"), F.regexp_replace(F.base64(F.concat(
+        F.lit('{"sub":"'), word[0], F.lit('"}'))), "[+/=]", ""), plain)
 
     def case(before, candidate: Column, after, path: str, label: int) -> Column:
         return F.struct(*[
@@ -142,6 +168,18 @@ def examples(docs: DataFrame, limit: int = 2_000) -> DataFrame:
         case("export SECRET_KEY=", F.col("c"), word[2], "", 1),
         case(F.concat(word[3], F.lit(" PASSWORD = '")), F.substring(plain, 3, 20), word[2], "", 1),
         case("TOKEN = \"", F.upper("a"), word[2], "", 1),
+        case(F.concat(word[0], F.lit(" token = \"")), coded, word[1], "", 1),
+        case(F.concat(F.lit("\"user\":\""), word[0], F.lit("\" \"api_key\":\"")), F.col("c"), word[1],
+             "", 1),
+        case("token=", F.substring(plain, 5, 24), word[1], "", 1),
+        case("password=", F.substring(plain, 9, 12), word[2], "", 1),
+        case(F.concat(word[1], F.lit(" secret: `")), F.substring(plain, 1, 32), word[2], "", 1),
+        case(F.concat(word[1], F.lit(" Authorization: Bearer ")), jwt, word[2], "", 1),
+        case("access_token=", jwt, word[2], "", 1),
+        case(F.concat(F.lit("https://"), word[0], F.lit(".com")),
+             F.concat(F.lit("/2024/"), F.concat_ws("/", *word[1:4])), word[4], "", 0),
+        case(F.concat(F.lit("\"name\":\"")), F.concat_ws("-", *word[:4], F.lit("2024")), word[4], "", 0),
+        case("token = \"", F.concat_ws(".", *word[:4]), word[4], "", 0),
         case("token = \"", F.concat_ws("_", *word[:4]), word[4], "", 0),
         case("secret_key = '", F.concat(F.lit("example-"), word[1], F.lit("-key-123456")),
              word[2], "", 0),

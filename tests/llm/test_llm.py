@@ -418,6 +418,32 @@ def test_secrets(spark, odd, empty):
     assert secrets.secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+def test_every_shape_of_a_secret_is_hidden(spark):
+    def made(i, length):
+        return "".join(random.Random(i).choices("ABCDEFGHJKLMabcdefghjkmnpqrstuvwxyz0123456789", k=length))
+
+    padded = "dGhpcyBpcyBhIDI0Ynl0ZSBrZXkgMTIzNDU2Nzg5MDEyMzQ1Ng=="
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.{made(1, 43)}"
+    shapes = [
+        (f'token = "{padded}"', padded), (f'api_key="{padded}"', padded),
+        (f'{{"user":"bob","api_key":"{made(2, 32)}"}}', made(2, 32)),
+        (f'{{"private_key":"{made(3, 32)}","user":"bob"}}', made(3, 32)),
+        (f"https://host.example/v1?token={made(4, 32)}&page=2", made(4, 32)),
+        (f"user=bob;password={made(5, 16)};", made(5, 16)),
+        (f"secret: `{made(6, 32)}`", made(6, 32)), (f"token = `{made(7, 32)}`", made(7, 32)),
+        (f"Authorization: Bearer {jwt} .", jwt), (f'token = "{jwt}"', jwt)]
+    docs = spark.createDataFrame(
+        [(i, GOOD + str(i)) for i in range(60)]
+        + [(100 + i, f"Here is {text} of last week.") for i, (text, _) in enumerate(shapes)],
+        "doc_id long, text string")
+    found = {(r.doc_id, r.candidate) for r in secrets.candidates(docs).collect()}
+    assert {(100 + i, key) for i, (_, key) in enumerate(shapes)} <= found
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, (text, key) in enumerate(shapes):
+        assert clean[100 + i] == f"Here is {text.replace(key, '[SECRET]')} of last week."
+    assert all(clean[i] == GOOD + str(i) for i in range(60))
+
+
 def test_secret_scan_is_native(spark, odd):
     plan = secrets.secrets(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
