@@ -270,6 +270,17 @@ def test_join_on_odd_rows(odd):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (1, 2, 3)) == [1, 3]
 
 
+def test_copies_go_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame(
+        [(5, a), (7, a), (5, b), (3, b), (None, c), (None, c.upper()), (None, c), (9, "!!"), (9, "!!"),
+         (None, b), (2, None)], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one_of_each(docs).collect()), key=str)
+    assert [r for r in kept if r[1] in (a, b)] == [(3, b), (5, a)]
+    assert len([r for r in kept if r[1] and r[1].lower() == c]) == 1
+    assert kept.count((9, "!!")) == 2 and (2, None) in kept and len(kept) == 6
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = dict(rows_of(components.components(spark.createDataFrame(links, "a long, b long"))))
