@@ -1,19 +1,20 @@
 """Benchmark decontamination by the CGK embedding and bit-sampling LSH, then exact edit distance.
 
 Texts are folded to lower-case letters and digits with single blanks, so case, layout and strewn
-signs do not hide a passage. Windows begin at anchors: words that start a line or sentence or have a
-capital. A benchmark item has a window at each of its anchors, a document at each of its own.
+signs do not hide a passage. Items and documents have a window at every word, and at every letter of
+scripts that set no blanks.
 
 The CGK walk reads a window with one pointer: at step j it writes the character under the pointer
 and moves on or stays, as a random bit for (j, character) says. Two windows at small edit distance
 fall into step again after each edit, so their outputs differ in few places; sampling some of the
-outputs gives them equal keys with fair probability. Walks and samples are drawn anew `runs` times.
-Equal keys are candidates; each is settled by the exact edit distance between the whole item and the
+outputs gives them equal keys with fair probability. Walks and samples are drawn anew in each run;
+trials on edited copies of the items tell how many runs a recall needs (`runs_needed`). Equal keys
+are candidates. Those that share too few runs of three characters for the distance go; each other is settled by the exact edit distance between the whole item and the
 best matching stretch of the document around the window.
 
 Rows: a document may match several items; each pair appears once, at its best stretch. Null and
-empty texts and items match nothing; items shorter than `shortest` folded characters are compared
-as whole words, exactly. Repeated rows give repeated results. Extra columns are left out. Empty
+empty texts and items match nothing; items shorter than `shortest` folded characters are looked up
+by pieces, one of which every match holds unchanged, and settled by edit distance as whole words. Repeated rows give repeated results. Extra columns are left out. Empty
 tables give an empty result.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from breadthline.llm.common import keep_rows, pieces
 
 STEPS = 64  # length of the sampled part of the walk; it reads about half as many characters
-SAMPLE = 12
+SAMPLE = 14  # more of them cost runs, fewer cost exact comparisons
 CODES = 64
 RESULT = (("doc_id", "long"), ("item_id", "long"), ("start", "long"), ("stop", "long"),
           ("distance", "int"), ("item_chars", "int"))
@@ -38,20 +39,22 @@ KINDS = {"long": pa.int64(), "int": pa.int32()}
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point of the first plane: its folded code point (0: no letter or digit), and
-    whether it can start a sentence (capital letter or digit)."""
+    whether it is a letter of a script that sets no blanks between words."""
     folded = np.zeros(1 << 16, dtype=np.uint16)
-    capital = np.zeros(1 << 16, dtype=bool)
     for point in range(1, 1 << 16):
         char = chr(point)
         if char.isalnum():
             low = char.lower()
             folded[point] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else point
-            capital[point] = char.isupper() or char.isdigit()
-    return folded, capital
+    at = np.arange(1 << 16)
+    unspaced = np.zeros(1 << 16, dtype=bool)
+    for low, high in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF),
+                      (0xF900, 0xFAFF)):
+        unspaced |= (at >= low) & (at <= high)
+    return folded, unspaced & (folded != 0)
 
 
-FOLDED, CAPITAL = _tables()
-ENDS = np.isin(np.arange(1 << 16), [ord(c) for c in "\n.!?"])
+FOLDED, UNSPACED = _tables()
 
 
 @dataclass
@@ -64,8 +67,9 @@ class Folded:
     starts: np.ndarray  # where each text begins and, last, where all end
 
     def signs(self) -> np.ndarray:
-        """Codes as the walk reads them, with room for a walk at the very end."""
-        return np.concatenate([self.codes % CODES, np.zeros(STEPS, np.uint16)]).astype(np.uint8)
+        """Codes as the walk reads them, two at a time, with room for a walk at the very end."""
+        codes = np.concatenate([self.codes % CODES, np.zeros(STEPS + 1, np.uint16)])
+        return codes[:-1] * np.uint16(CODES) + codes[1:]
 
 
 def fold(texts: list[str]) -> Folded:
@@ -82,15 +86,9 @@ def fold(texts: list[str]) -> Folded:
     keep[begins] = True  # and every text begins with one
     first = word.copy()
     first[1:] &= ~word[:-1]
-    # A word is an anchor if it has a capital or digit first, or an end of sentence since the word
-    # before it.
-    ends = np.cumsum(ENDS[raw])
+    first |= UNSPACED[raw]
     spots = np.nonzero(first)[0]
-    since = np.concatenate([[0], ends[spots[:-1]]]) if len(spots) else ends[:0]
-    new_text = np.searchsorted(begins, spots, side="right") - 1
-    opens = np.concatenate([[-1], new_text[:-1]]) != new_text if len(spots) else new_text == 0
-    anchor = CAPITAL[raw[spots]] | (ends[spots] > since) | opens
-    spots, owner = spots[anchor], new_text[anchor]
+    owner = np.searchsorted(begins, spots, side="right") - 1
     number = np.cumsum(keep) - 1
     kept = np.nonzero(keep)[0]
     starts = np.append(number[begins], len(kept)) if len(texts) else np.zeros(1, dtype=np.int64)
@@ -103,30 +101,39 @@ class Walks:
     """Random bits and sampled steps of each run, from a seed: the same on every machine."""
     runs: int
     seed: int = 5
-    moves: list[np.ndarray] = field(default_factory=list)
-    steps: list[np.ndarray] = field(default_factory=list)
+    tables: list[list[np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
+        one, two = np.divmod(np.arange(CODES * CODES), CODES)
         for _ in range(self.runs):
-            self.moves.append(rng.integers(0, 2, (STEPS, CODES)).astype(np.int32))
-            self.steps.append(np.sort(rng.choice(STEPS, SAMPLE, replace=False)))
-
-    def keys(self, run: int, small: np.ndarray, anchors: np.ndarray,
-             chunk: int = 32_768) -> np.ndarray:
+            moves = rng.integers(0, 2, (STEPS, CODES))
+            sampled = set(rng.choice(STEPS, SAMPLE, replace=False).tolist())
+            # Two steps at once, from the two signs they can read: how far the pointer moves, and
+            # above these two bits what is sampled.
+            tables = []
+            for step in range(0, max(sampled) + 1, 2):
+                next_sign = np.where(moves[step][one] == 1, two, one)
+                far = moves[step][one] + moves[step + 1][next_sign]
+                read = ((one + 1) * (step in sampled) * (CODES + 1)
+                        + (next_sign + 1) * (step + 1 in sampled))
+                tables.append((far + (read << 2)).astype(np.int32))
+            self.tables.append(tables)
+
+    def keys(self, run: int, signs: np.ndarray, anchors: np.ndarray,
+             chunk: int = 16_384) -> np.ndarray:
         """Key of the window at each anchor of folded texts given as `signs`."""
-        sampled = set(self.steps[run].tolist())
-        last = max(sampled)
         keys = np.empty(len(anchors), dtype=np.uint64)
         for start in range(0, len(anchors), chunk):
-            pointer = anchors[start:start + chunk].astype(np.int32)
+            pointer = anchors[start:start + chunk].astype(np.int64)
             key = np.zeros(len(pointer), dtype=np.uint64)
-            for step in range(last + 1):
-                sign = small[pointer]
-                if step in sampled:
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + sign + np.uint64(1)
-                pointer += self.moves[run][step][sign]
-            keys[start:start + chunk] = key
+            for table in self.tables[run]:
+                step = table.take(signs.take(pointer))
+                pointer += step & 3
+                if table[-1] > 3:
+                    key *= np.uint64(0x9E3779B97F4A7C15)
+                    key += (step >> 2).view(np.uint32)
+            keys[start:start + chunk] = key ^ (key >> np.uint64(29))
         return keys
 
 
@@ -140,6 +147,7 @@ class Items:
     offsets: list[np.ndarray]
     filters: list[np.ndarray]
     short: dict[str, list[int]]
+    grams: dict[int, np.ndarray] = field(default_factory=dict)  # counts of each item looked at
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str], walks: Walks, shortest: int) -> Items:
@@ -234,6 +242,12 @@ def search(texts: list[str], items: Items, walks: Walks,
         low = max(int(found.starts[text]) + 1, begin - 2 * slack)
         high = min(int(found.starts[text + 1]), begin + len(pattern) + 2 * slack)
         around = found.codes[low:high]
+        if item not in items.grams:
+            items.grams[item] = _grams(np.array([0 if c == " " else ord(c) for c in pattern]))
+        # An edit changes three runs of three characters at most.
+        shared = np.minimum(items.grams[item], _grams(around)).sum()
+        if shared < len(pattern) - 2 - 3 * int(most * len(pattern)):
+            continue
         string = "".join(map(chr, np.where(around == 0, 32, around)))
         distance, stop = edit_search(pattern, string)
         if distance > most * len(pattern):
@@ -247,49 +261,130 @@ def search(texts: list[str], items: Items, walks: Walks,
          len(items.folded[item]))
         for (text, item), (distance, a, b) in best.items()]
     if items.short:
-        rows += _short_matches(found, items)
+        rows += _short_matches(found, items, most)
     return rows
 
 
-def _short_matches(found: Folded, items: Items) -> list[tuple[int, int, int, int, int, int]]:
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """Counts of the runs of three characters, by a hash."""
+    c = codes.astype(np.int64)
+    return np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % 4_093, minlength=4_093)
+
+
+def _short_matches(found: Folded, items: Items,
+                   most: float) -> list[tuple[int, int, int, int, int, int]]:
     rows = []
     for text in range(len(found.starts) - 1):
         low = int(found.starts[text])
         part = found.codes[low:int(found.starts[text + 1])]
         string = "".join(map(chr, np.where(part == 0, 32, part))) + " "
         for pattern, owners in items.short.items():
-            place = string.find(f" {pattern} ")
-            if place >= 0:
-                a, b = low + place + 1, low + place + len(pattern)
-                rows += [(text, item, int(found.at[a]), int(found.at[b]) + 1, 0, len(pattern))
-                         for item in owners]
+            match = _short_match(f" {pattern} ", string, int(most * len(pattern)))
+            if match:
+                distance, start, stop = match
+                start += len(string[start:stop]) - len(string[start:stop].lstrip())
+                stop = len(string[:stop].rstrip())
+                a, b = int(found.at[low + start]), int(found.at[low + stop - 1]) + 1
+                rows += [(text, item, a, b, distance, len(pattern)) for item in owners]
     return rows
 
 
-def item_blocks(benchmark: DataFrame, size: int, walks: Walks, shortest: int) -> Iterator[Items]:
+def _short_match(pattern: str, string: str, allowed: int) -> tuple[int, int, int] | None:
+    """Distance, start and stop of the best stretch within the distance allowed."""
+    place = string.find(pattern)
+    if place >= 0:
+        return 0, place, place + len(pattern)
+    # Of one piece more than there are edits, one is unchanged.
+    cuts = [len(pattern) * i // (allowed + 1) for i in range(allowed + 2)]
+    spans = []
+    for a, b in zip(cuts, cuts[1:]):
+        place = string.find(pattern[a:b]) if allowed else -1
+        while place >= 0:
+            spans.append((max(0, place - a - allowed), place - a + len(pattern) + allowed))
+            place = string.find(pattern[a:b], place + 1)
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    best = None
+    for a, b in merged:
+        distance, stop = edit_search(pattern, string[a:b])
+        if distance <= allowed and (best is None or distance < best[0]):
+            _, back = edit_search(pattern[::-1], string[a:a + stop][::-1])
+            best = distance, a + stop - back, a + stop
+    return best
+
+
+def edited(text: str, most: float, rng: np.random.Generator) -> str:
+    """The text with as many changed, added and lost characters as `most` allows, anywhere."""
+    chars = list(text)
+    for _ in range(int(most * len(text))):
+        at, kind = int(rng.integers(len(chars))), int(rng.integers(3))
+        new = [] if kind == 2 else [text[int(rng.integers(len(text)))]]
+        chars[at:at + (kind != 1)] = new
+    return "".join(chars)
+
+
+def runs_needed(texts: list[str], most: float, recall: float, shortest: int, trials: int = 64,
+                sample: int = 128) -> int:
+    """Runs until copies of the items with all the edits allowed are found with `recall`.
+
+    Measured on at most `sample` items, spread over all: how often one run finds each copy.
+    """
+    walks = Walks(trials)
+    folded = [t for t in texts if len(t) >= shortest]
+    folded = folded[::max(1, -(-len(folded) // sample))]
+    if not folded:
+        return 1
+    rng = np.random.default_rng(walks.seed)
+    items = Items.of(list(range(len(folded))), folded, walks, 0)
+    copies = fold([edited(t, most, rng) for t in folded])
+    hits = np.zeros((trials, len(folded)), dtype=bool)
+    for run in range(trials):
+        of_item = [set() for _ in folded]
+        for key, owner in zip(items.keys[run].tolist(), items.owners[run].tolist()):
+            of_item[owner].add(key)
+        keys = walks.keys(run, copies.signs(), copies.anchors)
+        for key, owner in zip(keys.tolist(), copies.owner.tolist()):
+            hits[run, owner] |= key in of_item[owner]
+    missed = 1 - (hits.sum(axis=0) + 0.5) / (trials + 1)
+    runs = 1
+    while (missed ** runs).mean() > 1 - recall:
+        runs += 1
+    return runs
+
+
+def item_blocks(benchmark: DataFrame, size: int, most: float, recall: float,
+                shortest: int) -> Iterator[tuple[Items, Walks]]:
     """The benchmark in blocks of at most `size` items; the driver reads one block at a time."""
+    def made(block: list[tuple[int, str]]) -> tuple[Items, Walks]:
+        texts = [t for _, t in block]
+        walks = Walks(runs_needed(texts, most, recall, shortest))
+        return Items.of([i for i, _ in block], texts, walks, shortest), walks
+
     block: list[tuple[int, str]] = []
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == size:
-            yield Items.of([i for i, _ in block], [t for _, t in block], walks, shortest)
+            yield made(block)
             block = []
     if block:
-        yield Items.of([i for i, _ in block], [t for _, t in block], walks, shortest)
+        yield made(block)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, runs: int = 10,
+def contamination(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, recall: float = 0.95,
                   shortest: int = 48, block: int = 4_096) -> DataFrame:
     """doc_id, item_id, start, stop, distance, item_chars for each document that holds an item.
 
-    `most`: edit distance allowed, as a share of the item's length. `runs`: with 10 runs a passage
-    that keeps 40 % of its keys per run is missed once in 150. `block`: items that one pass over the
+    `most`: edit distance allowed, as a share of the item's length. `recall`: of
+    passages with all the edits allowed; passages with fewer are found more often. `block`: items that one pass over the
     documents looks for; a larger benchmark takes more passes, so no task ever holds more.
     """
-    walks = Walks(runs)
     rows = docs.select("doc_id", "text")
 
-    def pass_for(items: Items) -> DataFrame:
+    def pass_for(items: Items, walks: Walks) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in pieces(batch):
@@ -305,17 +400,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, runs
 
     empty = rows.sparkSession.createDataFrame([], ", ".join(f"{n} {k}" for n, k in RESULT))
     result = None
-    for items in item_blocks(benchmark, block, walks, shortest):
-        result = pass_for(items) if result is None else result.unionByName(pass_for(items))
+    for items, walks in item_blocks(benchmark, block, most, recall, shortest):
+        result = pass_for(items, walks) if result is None else result.unionByName(pass_for(items, walks))
     return empty if result is None else result
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, runs: int = 10,
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, recall: float = 0.95,
                         shortest: int = 48, block: int = 4_096) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark item, as they came."""
-    walks = Walks(runs)
 
-    def without(items: Items):
+    def without(items: Items, walks: Walks):
         def work(texts: list[str]) -> list[bool]:
             clean = [True] * len(texts)
             for text, *_ in search(texts, items, walks, most):
@@ -324,6 +418,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2
 
         return lambda: work
 
-    for items in item_blocks(benchmark, block, walks, shortest):
-        docs = keep_rows(docs, without(items))
+    for items, walks in item_blocks(benchmark, block, most, recall, shortest):
+        docs = keep_rows(docs, without(items, walks))
     return docs

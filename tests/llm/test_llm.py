@@ -338,6 +338,36 @@ def test_contamination(spark, odd, empty):
     assert {(r.doc_id, r.item_id) for r in split.collect()} == set(got)
 
 
+def test_passages_without_anchors_are_found():
+    item = ("Which of these rivers runs north? It turned past the mill, said the miller, and nobody "
+            "asked him again until the winter came. Then the answer was plain to all of them.")
+    chinese = "河流经过老磨坊然后向北流去村里没有人能说出水车什么时候停下来的夏天的晚上孩子们来这里钓鱼老人坐在树下讲过去的故事大家都听得很认真"
+    short = "the wheel stopped turning in may"
+    items_texts = [item, item[34:].lower(), chinese, short]
+    plain = re.sub(r"[^\w ]", "", item.lower())
+    texts = [f"they said that {plain} and went on", f"they said {item[34:]}", GOOD * 3,
+             f"以前{chinese[:30]}那{chinese[31:]}以后", "he knew the wheel stoped turning in may or so"]
+    walks = decontaminate.Walks(decontaminate.runs_needed(items_texts, 0.2, 0.95, 48))
+    items = decontaminate.Items.of([0, 1, 2, 3], items_texts, walks, 48)
+    found = {(t, i): rest for t, i, *rest in decontaminate.search(texts, items, walks, 0.2)}
+    assert {(0, 0), (0, 1), (1, 1), (3, 2), (4, 3)} <= set(found) and (2, 0) not in found
+    assert found[0, 0][2] == 0 and found[3, 2][2] == 1 and found[4, 3][2] == 1
+    assert texts[4][found[4, 3][0]:found[4, 3][1]] == "the wheel stoped turning in may"
+
+
+def test_recall_at_the_distance_allowed():
+    rng, choice = np.random.default_rng(9), random.Random(9)
+    words = [f"{a}{b}{c}" for a in ("ra", "mo", "li", "stu") for b in "bdkp" for c in ("en", "is", "o")]
+    items_texts = [" ".join(choice.choices(words, k=40)) for _ in range(120)]
+    runs = decontaminate.runs_needed(items_texts, 0.2, 0.95, 48)
+    walks = decontaminate.Walks(runs)
+    items = decontaminate.Items.of(list(range(120)), items_texts, walks, 48)
+    copies = [f"so {decontaminate.edited(t, 0.18, rng)} it was" for t in items_texts]
+    found = {(t, i) for t, i, *_ in decontaminate.search(copies, items, walks, 0.2)}
+    assert sum((i, i) in found for i in range(120)) >= 0.9 * 120
+    assert runs <= decontaminate.runs_needed(items_texts, 0.2, 0.99, 48)
+
+
 # --- classifiers and languages --------------------------------------------------------------------
 
 def test_quality_network_learns():
