@@ -293,6 +293,16 @@ def test_runs_needed_grow_with_depth_and_recall():
     assert jaccard.runs_needed(0.8, 3, 0.9) < jaccard.runs_needed(0.8, 3, 0.999)
 
 
+def test_roots_draw_what_the_recall_needs():
+    runs = jaccard.runs_needed(0.8, 5, 0.99)
+    drawn = jaccard._mix(jaccard._roots(runs)[:, None] + jaccard.NUMBERS) < jaccard._share(0.8)
+    together = 1.0
+    for _ in range(4):
+        together = 1 - np.exp(-together)
+    assert (1 - 0.8 * together) ** drawn.sum() <= 0.01
+    assert drawn.sum() >= jaccard.coordinates_needed(0.8, 5, 0.99)
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 def edit_distance_anywhere(pattern: str, text: str) -> int:
