@@ -11,6 +11,7 @@ from breadthline.llm import (
     fingerprint,
     jaccard,
     language,
+    manifest,
     packing,
     quality,
     secrets,
@@ -62,13 +63,17 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run for run in (
         op1_quality_network, op2_secret_forest, op3_token_counts, op4_jaccard_join,
         op5_merkle_fingerprints, op6_language_profiles, op7_decontamination,
-        op8_best_fit_packing, op9_stratified_shards, op10_toxicity)
+        op8_best_fit_packing, op9_stratified_shards, op10_toxicity, op12_merkle_manifest)
 }
 
-#: None of the ten can be put in SQL: they learn, tokenize or use hashes that SQL does not have.
-#: Tests hold them against brute-force versions instead.
-ORACLES: dict[str, str] = {}
+#: The others cannot be put in SQL: they learn, tokenize or use hashes that SQL does not have. Tests
+#: hold them against brute-force versions instead.
+ORACLES: dict[str, str] = {"op12_merkle_manifest": manifest.SQL}
