@@ -16,6 +16,7 @@ from breadthline.llm import (
     quality,
     secrets,
     sharding,
+    token_files,
     tokens,
     toxicity,
 )
@@ -63,6 +64,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_files(table(spark, folder, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(table(spark, folder, "documents"))
 
@@ -71,7 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run for run in (
         op1_quality_network, op2_secret_forest, op3_token_counts, op4_jaccard_join,
         op5_merkle_fingerprints, op6_language_profiles, op7_decontamination,
-        op8_best_fit_packing, op9_stratified_shards, op10_toxicity, op12_merkle_manifest)
+        op8_best_fit_packing, op9_stratified_shards, op10_toxicity, op11_token_files,
+        op12_merkle_manifest)
 }
 
 #: The others cannot be put in SQL: they learn, tokenize or use hashes that SQL does not have. Tests
