@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from breadthline.llm import (
+    alignment,
     decontaminate,
     fingerprint,
     jaccard,
@@ -72,12 +73,16 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(table(spark, folder, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run for run in (
         op1_quality_network, op2_secret_forest, op3_token_counts, op4_jaccard_join,
         op5_merkle_fingerprints, op6_language_profiles, op7_decontamination,
         op8_best_fit_packing, op9_stratified_shards, op10_toxicity, op11_token_files,
-        op12_merkle_manifest)
+        op12_merkle_manifest, op13_token_alignment)
 }
 
 #: The others cannot be put in SQL: they learn, tokenize or use hashes that SQL does not have. Tests
