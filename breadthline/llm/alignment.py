@@ -28,9 +28,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,9 @@ from breadthline.session import land
 #: A block ends once its texts have this many characters.
 BLOCK_CHARS = 6_000_000
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: What an unusual text has: any white space beside single blanks and line feeds within it.
+ODD = (r"^[ \n]|[ \n]\z|[ \n][ \n]|[\t\x{0b}-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -61,7 +66,7 @@ class Sides:
     their bytes are not the stretch.
     """
 
-    def __init__(self, a: str, b: str, limit: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, a: str, b: str, limit: int = 700_000, longest: int = 64) -> None:
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -89,27 +94,40 @@ class Sides:
             return bytes([int(self.b.id_to_piece(number)[3:5], 16)])
         return self.b.id_to_piece(number).replace("▁", " ").encode()
 
-    def of(self, stretches: list[str]) -> list[tuple[list, list] | None]:
+    def of(self, stretches: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides as unsigned 32-bit numbers."""
         if len(self.kept) + len(stretches) > self.limit:
             self.kept = {}
-        missing = [s for s in stretches if s not in self.kept]
-        fresh = {}
-        if missing:
-            left = self.a.encode_batch_fast(missing, add_special_tokens=False)
-            # This side puts a blank before what it encodes: it takes the place of the first one,
-            # and is taken off before a line feed, which no piece joins with anything.
-            right = self.b.encode([s[1:] if s[0] == " " else s for s in missing], num_threads=1)
-            for stretch, one, two in zip(missing, left, right):
-                ids, data = one.ids, stretch.encode()
-                if stretch == " ":
-                    two = [self.blank]
-                elif stretch[0] == "\n":
-                    two = two[1:] if two[0] == self.blank else []
-                good = (b"".join([self.a_bytes[i] for i in ids]) == data
-                        and b"".join([self.b_bytes[i] for i in two]) == data)
-                fresh[stretch] = (ids, two) if good else None
-            self.kept.update((s, x) for s, x in fresh.items() if len(s) <= self.longest)
-        return [fresh[s] if s in fresh else self.kept[s] for s in stretches]
+        kept = self.kept
+        missing = [s for s in stretches if s not in kept]
+        if not missing:
+            return [kept[s] for s in stretches]
+        left = [e.ids for e in self.a.encode_batch_fast(missing, add_special_tokens=False)]
+        # This side puts a blank before what it encodes: it takes the place of the first one, and is
+        # taken off before a line feed, which no piece joins with anything.
+        right = self.b.encode([s[1:] if s[0] == " " else s for s in missing], num_threads=1)
+        for at, stretch in enumerate(missing):
+            if stretch == " ":
+                right[at] = [self.blank]
+            elif stretch[0] == "\n":
+                right[at] = right[at][1:]
+        data = [s.encode() for s in missing]
+        sides_of, good = [], np.ones(len(missing), dtype=bool)
+        for lists, table, sizes in ((left, self.a_bytes, self.a_sizes),
+                                    (right, self.b_bytes, self.b_sizes)):
+            flat = np.fromiter(chain.from_iterable(lists), np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+            reach = np.concatenate([[0], np.cumsum(sizes[flat])])
+            if (b"".join(map(table.__getitem__, flat.tolist())) != b"".join(data)
+                    or (np.diff(reach[ends], prepend=0) != list(map(len, data))).any()):
+                good &= [b"".join(map(table.__getitem__, some)) == whole
+                         for some, whole in zip(lists, data)]
+            raw, cuts = flat.tobytes(), (4 * ends).tolist()
+            sides_of.append([raw[x:y] for x, y in zip([0, *cuts], cuts)])
+        fresh = {s: (x, y) if fine else None
+                 for s, x, y, fine in zip(missing, *sides_of, good.tolist())}
+        kept.update((s, x) for s, x in fresh.items() if len(s) <= self.longest)
+        return [fresh[s] if s in fresh else kept[s] for s in stretches]
 
 
 @lru_cache(maxsize=2)
@@ -117,13 +135,28 @@ def sides(a: str, b: str) -> Sides:
     return Sides(a, b)
 
 
-def cut(text: str) -> list[str]:
-    """A text, with a blank before it, in stretches that begin where both sides have a border."""
-    # The usual text, whose words have one blank or line feed between them, needs no pattern.
-    if text.replace("\n", " ").split(" ") == text.split():
-        words = text.replace("\n", " \n").split(" ")
-        return [w if w[:1] == "\n" else " " + w for w in words]
-    return CUT.split(" " + text)
+def cut(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, list[str]]:
+    """Texts, each with a blank before it, in stretches that begin where both sides have a border:
+    the order in which the texts come, how many stretches each has, which they are, and all
+    distinct ones."""
+    rows = pa.array(texts, pa.string())
+    odd = np.asarray(pc.match_substring_regex(rows, ODD))
+    plain = np.nonzero(~odd & (np.asarray(pc.binary_length(rows)) > 0))[0]
+    # The usual text has one blank or line feed between its words: it is cut before each.
+    words = pc.split_pattern(pc.replace_substring(rows.take(pa.array(plain)), "\n", " \n"), " ")
+    coded = words.flatten().dictionary_encode()
+    stretches = [w if w[:1] == "\n" else " " + w for w in coded.dictionary.to_pylist()]
+    number = {s: i for i, s in enumerate(stretches)}
+    order = plain.tolist()
+    counts = [np.asarray(pc.list_value_length(words), dtype=np.int64)]
+    which = [np.asarray(coded.indices, dtype=np.int64)]
+    for at, text in enumerate(texts):
+        if not text or odd[at]:
+            some = [number.setdefault(s, len(number)) for s in CUT.split(" " + text)] if text else []
+            order.append(at)
+            counts.append(np.array([len(some)], dtype=np.int64))
+            which.append(np.array(some, dtype=np.int64))
+    return order, np.concatenate(counts), np.concatenate(which), list(number)
 
 
 # --- alignment ------------------------------------------------------------------------------------
@@ -208,9 +241,10 @@ def bounds_of(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """facts: FACTS of each document. digests: of their groups. pairs: the distinct linked pairs,
+    """order: which texts its documents are. facts: FACTS of each. digests: of their groups. pairs: the distinct linked pairs,
     a << 32 | b. held: documents that hold each. The rest says which pairs a stretch has, and how
     often a document has which stretch."""
+    order: list[int]
     facts: np.ndarray
     digests: list[str]
     pairs: np.ndarray
@@ -223,29 +257,27 @@ class Block:
 
 
 def block_of(texts: list[str | None], both: Sides) -> Block:
-    """Aligns the texts of a block."""
-    number: dict[str, int] = {}
-    docs = []
-    for text in texts:
-        docs.append([number.setdefault(s, len(number)) for s in cut(text)] if text else [])
-    tokens = both.of(list(number))
-    odd = {i for i, found in enumerate(tokens) if found is None}
-    if odd:
-        for at, some in enumerate(docs):
-            if odd.isdisjoint(some):
-                continue
-            # As one stretch; it has no tokens if the whole does not come back either.
-            whole = " " + texts[at]
-            found = both.of([whole])[0]
-            docs[at] = [] if found is None else [len(tokens)]
-            if found is not None:
-                tokens.append(found)
-        tokens = [([], []) if found is None else found for found in tokens]
+    """Aligns the texts of a block; its documents come in the order of `order`."""
+    order, sizes, flat, stretches = cut([text or "" for text in texts])
+    tokens = both.of(stretches)
+    odd = np.array([found is None for found in tokens])
+    if odd.any():
+        ends = np.cumsum(sizes)
+        parts = np.split(flat, ends[:-1])
+        for at, some in enumerate(parts):
+            if odd[some].any():
+                # As one stretch; it has no tokens if the whole does not come back either.
+                whole = both.of([" " + texts[order[at]]])[0]
+                parts[at] = np.array([] if whole is None else [len(tokens)], dtype=np.int64)
+                tokens += [] if whole is None else [whole]
+                odd = np.append(odd, [False] * (len(tokens) - len(odd)))
+        sizes, flat = np.array([len(x) for x in parts]), np.concatenate(parts)
+        tokens = [(b"", b"") if found is None else found for found in tokens]
     count = len(tokens)
-    a_count = np.array([len(x) for x, _ in tokens], dtype=np.int64)
-    b_count = np.array([len(y) for _, y in tokens], dtype=np.int64)
-    a = np.fromiter((i for x, _ in tokens for i in x), np.int64, int(a_count.sum()))
-    b = np.fromiter((i for _, y in tokens for i in y), np.int64, int(b_count.sum()))
+    a = np.frombuffer(b"".join([x for x, _ in tokens]), np.uint32).astype(np.int64)
+    b = np.frombuffer(b"".join([y for _, y in tokens]), np.uint32).astype(np.int64)
+    a_count = np.array([len(x) for x, _ in tokens], dtype=np.int64) // 4
+    b_count = np.array([len(y) for _, y in tokens], dtype=np.int64) // 4
     found = coalesce(a, b, both.a_sizes[a], both.b_sizes[b])
     a_stretch = np.repeat(np.arange(count), a_count)
     groups = int(found.a_group[-1]) + 1 if len(a) else 0
@@ -257,16 +289,16 @@ def block_of(texts: list[str | None], both: Sides) -> Block:
     group_counts = np.bincount(stretch_of_group, minlength=count)
     per_stretch = np.stack([a_count, b_count, group_counts, pair_counts], axis=1)
 
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    flat = np.fromiter((s for d in docs for s in d), np.int64, int(sizes.sum()))
     ends = np.cumsum(sizes)
     running = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(per_stretch[flat], axis=0)])
     facts = running[ends] - running[ends - sizes]
-    digests = [hashlib.sha256(b"".join(map(texts_of.__getitem__, d))[:-1]).hexdigest() if d else ""
-               for d in docs]
+    listed, digests = flat.tolist(), []
+    for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
+        groups_of = b"".join(map(texts_of.__getitem__, listed[begin:end]))
+        digests.append(hashlib.sha256(groups_of[:-1]).hexdigest() if end > begin else "")
 
     # Each document's distinct stretches, and from them its distinct pairs.
-    keys, times = np.unique(np.repeat(np.arange(len(docs)), sizes) * max(count, 1) + flat,
+    keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(count, 1) + flat,
                             return_counts=True)
     doc_of, stretch_of = np.divmod(keys, max(count, 1))
     firsts = bounds_of(pair_counts)
@@ -275,13 +307,14 @@ def block_of(texts: list[str | None], both: Sides) -> Block:
         firsts[stretch_of] - (np.cumsum(taken) - taken), taken)
     holds = np.unique(np.repeat(doc_of, taken) * max(len(pairs), 1) + pair_of[spread])
     held = np.bincount(holds % max(len(pairs), 1), minlength=len(pairs))
-    return Block(facts, digests, pairs, held, pair_counts, pair_of,
-                 np.bincount(doc_of, minlength=len(docs)), stretch_of, times)
+    return Block(order, facts, digests, pairs, held, pair_counts, pair_of,
+                 np.bincount(doc_of, minlength=len(sizes)), stretch_of, times)
 
 
 def totals(block: list[np.ndarray], counts: np.ndarray, best: np.ndarray) -> np.ndarray:
     """n_best and count_sum of each document, from the counts of the block's pairs."""
     pair_counts, pair_of, stretch_counts, stretch_of, times = block
+    stretch_of = np.cumsum(stretch_of)  # kept as differences, which take less room
     values = np.stack([best, counts], axis=1).astype(np.int64)[pair_of]
     running = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values, axis=0)])
     firsts = bounds_of(pair_counts)
@@ -311,11 +344,12 @@ def blocks(docs: DataFrame, a: str, b: str, chars: int) -> DataFrame:
 
         def finish(part: int) -> pa.RecordBatch:
             block = block_of(texts, both)
-            lists = [ids, *block.facts.T.tolist(), block.digests]
+            lists = [[ids[i] for i in block.order], *block.facts.T.tolist(), block.digests]
             docs_of = pa.array([[dict(zip(("doc_id", *FACTS, "groups_sha256"), row))
                                  for row in zip(*lists)]], type=DOCS)
             inner = packed(block.pair_counts.astype(np.int32), block.pair_of.astype(np.int32),
-                           block.stretch_counts.astype(np.int32), block.stretch_of.astype(np.int32),
+                           block.stretch_counts.astype(np.int32),
+                           np.diff(block.stretch_of, prepend=0).astype(np.int32),
                            block.times.astype(np.int32))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | made], pa.int64()), docs_of, pa.array([inner], pa.binary()),
