@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from breadthline import config as c
 from breadthline.functions import rules
+from breadthline.functions.exact import exact_mean, exact_sum
 from breadthline.functions.windows import by_symbol, newer, newest_first, oldest_first, so_far, up_to_here
 
 SERIES = ("close", "high", "low", "line")
@@ -104,24 +105,23 @@ def _input_expressions() -> dict[str, str]:
         "values": "count(value)",
         "close_now": _agg("max", "close", "day = close_end"),
         "volume_now": _agg("max", "volume", "pos = 0"),
-        "ma_long": _agg("avg", "close", _inside("close", f"close_end - {long_days}")),
-        "ma_long_prior": _agg("avg", "close", prior_ma),
-        "ma_short": _agg("avg", "close", _inside("close", f"close_end - {short_days}")),
-        "volume_base": _agg("avg", "volume", _latest(c.VOLUME_BASELINE, skip=1)),
-        "up_volume": _agg("sum", "volume", f"{in_ud} AND close - prior_row_close > 0"),
-        "down_volume": _agg("sum", "volume", f"{in_ud} AND close - prior_row_close < 0"),
-        "value_mean": _agg("avg", "value", _latest(c.VALUE_SESSIONS, "value_pos")),
+        "ma_long": exact_mean("close", _inside("close", f"close_end - {long_days}")),
+        "ma_long_prior": exact_mean("close", prior_ma),
+        "ma_short": exact_mean("close", _inside("close", f"close_end - {short_days}")),
+        "volume_base": exact_mean("volume", _latest(c.VOLUME_BASELINE, skip=1)),
+        "up_volume": exact_sum("volume", f"{in_ud} AND close - prior_row_close > 0"),
+        "down_volume": exact_sum("volume", f"{in_ud} AND close - prior_row_close < 0"),
+        "value_mean": exact_mean("value", _latest(c.VALUE_SESSIONS, "value_pos")),
         "tr_rows": "count(true_range)",
-        "tr_mean": _agg("avg", "true_range", _latest(c.ATR_SESSIONS, "tr_pos")),
-        "dry_recent": _agg("avg", "volume", _latest(c.DRYUP_RECENT)),
-        "dry_base": _agg("avg", "volume", _latest(c.DRYUP_BASELINE, skip=c.DRYUP_RECENT)),
+        "tr_mean": exact_mean("true_range", _latest(c.ATR_SESSIONS, "tr_pos")),
+        "dry_recent": exact_mean("volume", _latest(c.DRYUP_RECENT)),
+        "dry_base": exact_mean("volume", _latest(c.DRYUP_BASELINE, skip=c.DRYUP_RECENT)),
         "base_high": _agg("max", "high", base),
         "base_low": _agg("min", "low", base),
     }
     for n in (50, 150, 200):
-        out[f"sma_{n}"] = _agg("avg", "close", _latest(n, "close_pos"))
-    out["sma_200_prior"] = _agg(
-        "avg", "close", _latest(200, "close_pos", c.SMA_RISING_SESSIONS)
+        out[f"sma_{n}"] = exact_mean("close", _latest(n, "close_pos"))
+    out["sma_200_prior"] = exact_mean("close", _latest(200, "close_pos", c.SMA_RISING_SESSIONS)
     )
     for m in c.RETURN_MONTHS:
         inside = _inside("close", _months_back(m))
@@ -142,7 +142,7 @@ def _input_expressions() -> dict[str, str]:
         block = _latest(size, skip=(c.BASE_BLOCKS - 1 - b) * size)
         out[f"block_{b}_high"] = _agg("max", "high", block)
         out[f"block_{b}_low"] = _agg("min", "low", block)
-        out[f"block_{b}_mean"] = _agg("avg", "close", block)
+        out[f"block_{b}_mean"] = exact_mean("close", block)
     return out
 
 

@@ -15,33 +15,41 @@ from pyspark.sql import functions as F
 from breadthline import config as c
 from breadthline.functions.numbers import INFINITY
 
-# Tolerance per reconciled field, relative above one: two plans add the same
-# numbers in different orders, which moves the last digits of a large mean.
-TIGHT, LOOSE = 1e-12, 1e-9
-TOLERANCES: dict[str, float] = {
+# Tolerance per reconciled field, relative above one; None: texts, which are equal or not. Both
+# computations add without an error that depends on the order, so no field needs more.
+TIGHT = 1e-12
+TOLERANCES: dict[str, float | None] = {
     **{f"R{m}M": TIGHT for m in c.RETURN_MONTHS},
     "RS_Blend": TIGHT,
     **{f"MaxDD_{m}M": TIGHT for m in c.RETURN_MONTHS},
     "Up_Days_Pct_6M": TIGHT,
-    "MA_30W": LOOSE,
-    "MA_30W_Slope_10S_Pct": LOOSE,
-    "MA_10W": LOOSE,
+    "MA_30W": TIGHT,
+    "MA_30W_Slope_10S_Pct": TIGHT,
+    "Stage": None,
+    "MA_10W": TIGHT,
     "High_52W": TIGHT,
     "Low_52W": TIGHT,
-    "SMA_150": LOOSE,
-    "SMA_200": LOOSE,
+    "SMA_150": TIGHT,
+    "SMA_200": TIGHT,
     "VCP_Contractions": 0.0,
-    "Contraction_Ratio": LOOSE,
-    "Volume_DryUp": LOOSE,
-    "VCP_Pivot": LOOSE,
-    "Volume_Ratio": LOOSE,
-    "U_D": LOOSE,
-    "AvgValue20": LOOSE,
+    "Contraction_Ratio": TIGHT,
+    "Volume_DryUp": TIGHT,
+    "VCP_Pivot": TIGHT,
+    "Volume_Ratio": TIGHT,
+    "U_D": TIGHT,
+    "AvgValue20": TIGHT,
 }
+# The trend table runs its sums over the whole history, the snapshot over its windows.
+PANEL_TOLERANCE = 1e-9
+FIXED = "decimal(38,18)"
 
 
 def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda total, x: total + x)
+    """Added as decimals, which no order of the elements changes."""
+    return F.aggregate(
+        array, F.lit(0).cast(FIXED), lambda total, x: (total + x.cast(FIXED)).cast(FIXED),
+        lambda total: total.cast("double"),
+    )
 
 
 def _mean(array: Column) -> Column:
@@ -106,6 +114,14 @@ def _line(upto: Column, weeks: int) -> Column:
     return _mean(_pick(_since(upto, end - 7 * weeks), "close"))
 
 
+def _stage(price: Column, line: Column, slope: Column) -> Column:
+    """The label by the side of the line the price is on, and where the line goes."""
+    above, rising = (price > line).cast("int"), (slope > 0).cast("int")
+    # In the order below and falling, below and rising, above and falling, above and rising.
+    labels = [c.STAGE_LABELS[f"Stage {n}"] for n in (4, 1, 3, 2)]
+    return F.get(F.array(*[F.lit(label) for label in labels]), 2 * above + rising)
+
+
 def independent_fields(
     bars: DataFrame, boundary: dt.date, min_sessions: int = c.MIN_RANGE_SESSIONS
 ) -> DataFrame:
@@ -162,6 +178,7 @@ def independent_fields(
     line, before = F.col("long_line"), F.col("earlier_line")
     fields["MA_30W"] = F.when(before.isNotNull() & (before != 0), line)
     fields["MA_30W_Slope_10S_Pct"] = (F.try_divide(line, before) - 1.0) * 100.0
+    fields["Stage"] = _stage(now, fields["MA_30W"], fields["MA_30W_Slope_10S_Pct"])
     fields["MA_10W"] = F.col("short_line")
     for name, window, best in (
         ("High_52W", F.col("high_window"), F.array_max), ("Low_52W", F.col("low_window"), F.array_min)
@@ -222,19 +239,22 @@ def independent_fields(
 
 
 def compare(
-    actual: DataFrame, expected: DataFrame, tolerances: dict[str, float] = TOLERANCES,
+    actual: DataFrame, expected: DataFrame, tolerances: dict[str, float | None] = TOLERANCES,
     key: str = "Symbol",
 ) -> DataFrame:
-    """One row per key and field: both values and whether they agree.
+    """One row per key and field: both values as text, how far apart they are, and whether they agree.
 
-    Two missing values agree; a column that one side lacks does not.
+    Two missing values agree; a column that one side lacks does not. `gap` is the difference over
+    the expected value, or over one where that is smaller; texts have none.
     """
+    def kind(name: str) -> str:
+        return "string" if tolerances[name] is None else "double"
+
     def side(rows: DataFrame, prefix: str) -> DataFrame:
         return rows.select(
             key, F.lit(True).alias(f"{prefix}known"),
             *[
-                (F.col(n) if n in rows.columns else F.lit(None)).cast("double")
-                .alias(f"{prefix}{n}")
+                (F.col(n) if n in rows.columns else F.lit(None)).cast(kind(n)).alias(f"{prefix}{n}")
                 for n in tolerances
             ],
         )
@@ -244,15 +264,19 @@ def compare(
     checks = []
     for n, tolerance in tolerances.items():
         a, e = F.col(f"a_{n}"), F.col(f"e_{n}")
-        near = F.abs(a - e) <= tolerance * F.greatest(F.lit(1.0), F.abs(e))
-        same = (a.isNull() & e.isNull()) | (a == e) | near
+        same = (a.isNull() & e.isNull()) | (a == e)
+        gap = F.lit(None).cast("double")
+        if tolerance is not None:
+            # Two infinite values are equal and have no distance.
+            gap = F.when(a == e, 0.0).otherwise(F.abs(a - e) / F.greatest(F.lit(1.0), F.abs(e)))
+            same = same | (gap <= tolerance)
         agrees = (
             F.coalesce(same, F.lit(False)) & F.lit(present[n])
             & F.col("a_known").isNotNull() & F.col("e_known").isNotNull()
         )
         checks.append(F.struct(
-            F.lit(n).alias("field"), a.alias("actual"), e.alias("expected"),
-            agrees.alias("agrees"),
+            F.lit(n).alias("field"), a.cast("string").alias("actual"),
+            e.cast("string").alias("expected"), gap.alias("gap"), agrees.alias("agrees"),
         ))
     return both.select(key, F.inline(F.array(*checks)))
 
@@ -262,14 +286,21 @@ def mismatches(compared: DataFrame) -> DataFrame:
 
 
 def field_report(compared: DataFrame) -> DataFrame:
-    """Per field: rows compared, rows with a value, and disagreements."""
+    """Per field: rows compared, rows with a value, disagreements, and the largest gap."""
     return compared.groupBy("field").agg(
         F.count(F.lit(1)).alias("compared"),
         F.count("expected").alias("measured"),
         F.count_if(~F.col("agrees")).alias("mismatches"),
+        F.max("gap").alias("largest_gap"),
     )
 
 
+def loosest(report: DataFrame) -> DataFrame:
+    """The field whose values lie furthest apart: one row, none where nothing was measured."""
+    return report.filter(F.col("largest_gap").isNotNull()).orderBy(
+        F.desc("largest_gap"), "field").limit(1)
+
+
 def panel_disagreements(trends: DataFrame, research: DataFrame) -> DataFrame:
     """Symbols whose last trend row is not the snapshot row it belongs to."""
     newest = trends.groupBy("symbol").agg(
@@ -281,7 +312,7 @@ def panel_disagreements(trends: DataFrame, research: DataFrame) -> DataFrame:
     )
 
     def off(stored: str, reported: str) -> Column:
-        gap = F.abs(F.col(f"last.{stored}") - F.col(reported)) > LOOSE * F.greatest(
+        gap = F.abs(F.col(f"last.{stored}") - F.col(reported)) > PANEL_TOLERANCE * F.greatest(
             F.lit(1.0), F.abs(F.col(reported))
         )
         return F.col(reported).isNotNull() & F.coalesce(gap, F.lit(True))

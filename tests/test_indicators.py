@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from breadthline.functions.exact import exact_mean, exact_sum
 from breadthline.operators import indicators as ind
 from breadthline.operators import ranking
 from tests import brute
@@ -179,3 +180,27 @@ def test_trend_chart_and_candles(spark):
     assert chart.count() == 260 and chart.filter("close IS NULL").count() == 0
     candles = ind.candle_series(bars)
     assert candles.filter("high IS NULL AND low IS NOT NULL").count() == 0
+
+
+def test_exact_sums_in_any_order(spark):
+    """Against correctly rounded sums: mixed sizes, signs and cancellation, rows in three orders."""
+    rng = np.random.default_rng(5)
+    groups = {
+        "prices": np.round(rng.uniform(1, 900, 1500), 2), "values": rng.uniform(1e9, 1e12, 300),
+        "cancel": np.concatenate([[1e15, 0.25], -rng.uniform(1, 2, 40), [-1e15]]),
+        "one": np.array([3.7]), "flat": np.full(210, 100.1),
+    }
+    rows = [(g, float(x)) for g, some in groups.items() for x in some] + [("none", None)]
+    for seed in range(3):
+        rng.shuffle(rows)
+        parts = spark.createDataFrame([(g, x if x is None else float(x)) for g, x in rows],
+                                      "g string, x double").repartition(3 + seed)
+        got = {r["g"]: r for r in parts.groupBy("g").agg(
+            F.expr(f"{exact_sum('x')} AS total"), F.expr(f"{exact_mean('x')} AS mean"),
+            F.expr(f"{exact_sum('x', 'x > 5')} AS some")).collect()}
+        for g, some in groups.items():
+            assert got[g]["total"] == math.fsum(some), g
+            assert got[g]["mean"] == math.fsum(some) / len(some)
+            big = [x for x in some if x > 5]
+            assert got[g]["some"] == (math.fsum(big) if big else None)
+        assert got["none"]["total"] is None and got["none"]["mean"] is None

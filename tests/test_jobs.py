@@ -129,6 +129,15 @@ def test_both_computations_agree_and_a_wrong_one_is_found(spark, market):
     wrong = rows.withColumn("SMA_200", F.col("SMA_200") + 1e-6)
     bad = reconcile.mismatches(reconcile.compare(wrong, second))
     assert {r["field"] for r in bad.collect()} == {"SMA_200"}
+    other = rows.withColumn("Stage", F.when(F.col("Symbol") != "S03", F.col("Stage")))
+    off = reconcile.mismatches(reconcile.compare(other, second)).collect()
+    assert {(r["field"], r["Symbol"], r["actual"], r["gap"]) for r in off} == {
+        ("Stage", "S03", None, None)}
+    report = reconcile.field_report(reconcile.compare(wrong, second))
+    worst = reconcile.loosest(report).first()
+    assert worst["field"] == "SMA_200" and worst["largest_gap"] > 1e-10
+    good = reconcile.loosest(reconcile.field_report(reconcile.compare(rows, second))).first()
+    assert good["largest_gap"] <= reconcile.TIGHT
     absent = reconcile.mismatches(reconcile.compare(rows.drop("U_D"), second))
     assert {r["field"] for r in absent.collect()} == {"U_D"}
 

@@ -357,8 +357,8 @@ def _(i):
 
 @register("independent_fields",
           """Symbol, R3M:f, R12M:f, RS_Blend:f, MaxDD_3M:f, MaxDD_12M:f, Up_Days_Pct_6M:f,
-          MA_30W:f, MA_30W_Slope_10S_Pct:f, MA_10W:f, High_52W:f, Low_52W:f, SMA_150:f, SMA_200:f,
-          VCP_Contractions:i, Contraction_Ratio:f, Volume_DryUp:f, VCP_Pivot:f, Volume_Ratio:f,
+          MA_30W:f, MA_30W_Slope_10S_Pct:f, Stage, MA_10W:f, High_52W:f, Low_52W:f, SMA_150:f,
+          SMA_200:f, VCP_Contractions:i, Contraction_Ratio:f, Volume_DryUp:f, VCP_Pivot:f, Volume_Ratio:f,
           U_D:f, AvgValue20:f""", "supplier", o.snapshot("supplier"), "research")
 def _(i):
     return reconcile.independent_fields(i.landed_bars(), i.boundary(), i.variant.min_sessions)
