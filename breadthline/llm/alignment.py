@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breadthline.llm.common import whole_text
-from breadthline.llm.pretokens import byte_alphabet
+from breadthline.llm.pretokens import SPLITTER, byte_alphabet
 from breadthline.session import land
 
 #: A block ends once its texts have this many characters.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
+#: Stretches in one call of the libraries, whose answers take far more room than the ids.
+CALL = 16_384
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: What an unusual text has: any white space beside single blanks and line feeds within it.
 ODD = (r"^[ \n]|[ \n]\z|[ \n][ \n]|[\t\x{0b}-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -66,14 +69,20 @@ class Sides:
     their bytes are not the stretch.
     """
 
-    def __init__(self, a: str, b: str, limit: int = 700_000, longest: int = 64) -> None:
+    def __init__(self, a: str, b: str, limit: int = 500_000, longest: int = 64) -> None:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True  # their strings are plain text
+        # The same model behind a step that only maps bytes: it gets pre-tokens, in which the strings
+        # of special tokens are plain text.
+        with open(a, encoding="utf-8") as file:
+            stored = json.load(file)
+        stored |= {"normalizer": None, "added_tokens": [], "post_processor": None,
+                   "truncation": None, "padding": None,
+                   "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False,
+                                     "trim_offsets": True, "use_regex": False}}
+        self.a = Tokenizer.from_str(json.dumps(stored))
+        self.parts: dict[str, bytes] = {}
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         back = {sign: byte for byte, sign in byte_alphabet().items()}
         size = self.a.get_vocab_size()
@@ -102,32 +111,62 @@ class Sides:
         missing = [s for s in stretches if s not in kept]
         if not missing:
             return [kept[s] for s in stretches]
-        left = [e.ids for e in self.a.encode_batch_fast(missing, add_special_tokens=False)]
+        fresh = {}
+        for start in range(0, len(missing), CALL):
+            fresh |= self._both(missing[start:start + CALL])
+        kept.update((s, x) for s, x in fresh.items() if len(s) <= self.longest)
+        return [fresh[s] if s in fresh else kept[s] for s in stretches]
+
+    def _both(self, stretches: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        data = [s.encode() for s in stretches]
+        left = self._left(stretches)
         # This side puts a blank before what it encodes: it takes the place of the first one, and is
         # taken off before a line feed, which no piece joins with anything.
-        right = self.b.encode([s[1:] if s[0] == " " else s for s in missing], num_threads=1)
-        for at, stretch in enumerate(missing):
+        right = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        for at, stretch in enumerate(stretches):
             if stretch == " ":
                 right[at] = [self.blank]
             elif stretch[0] == "\n":
                 right[at] = right[at][1:]
-        data = [s.encode() for s in missing]
-        sides_of, good = [], np.ones(len(missing), dtype=bool)
-        for lists, table, sizes in ((left, self.a_bytes, self.a_sizes),
-                                    (right, self.b_bytes, self.b_sizes)):
-            flat = np.fromiter(chain.from_iterable(lists), np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-            reach = np.concatenate([[0], np.cumsum(sizes[flat])])
-            if (b"".join(map(table.__getitem__, flat.tolist())) != b"".join(data)
-                    or (np.diff(reach[ends], prepend=0) != list(map(len, data))).any()):
-                good &= [b"".join(map(table.__getitem__, some)) == whole
-                         for some, whole in zip(lists, data)]
-            raw, cuts = flat.tobytes(), (4 * ends).tolist()
-            sides_of.append([raw[x:y] for x, y in zip([0, *cuts], cuts)])
-        fresh = {s: (x, y) if fine else None
-                 for s, x, y, fine in zip(missing, *sides_of, good.tolist())}
-        kept.update((s, x) for s, x in fresh.items() if len(s) <= self.longest)
-        return [fresh[s] if s in fresh else kept[s] for s in stretches]
+        flat = np.fromiter(chain.from_iterable(right), np.uint32)
+        raw = flat.tobytes()
+        cuts = (4 * np.cumsum(np.fromiter(map(len, right), np.int64, len(right)))).tolist()
+        pairs = list(zip(left, [raw[x:y] for x, y in zip([0, *cuts], cuts)]))
+        if not (self._give_back(self.a_bytes, self.a_sizes, [x for x, _ in pairs], data)
+                and self._give_back(self.b_bytes, self.b_sizes, [y for _, y in pairs], data)):
+            pairs = [both if self._give_back(self.a_bytes, self.a_sizes, both[:1], [whole])
+                     and self._give_back(self.b_bytes, self.b_sizes, both[1:], [whole]) else None
+                     for both, whole in zip(pairs, data)]
+        return dict(zip(stretches, pairs))
+
+    def _left(self, stretches: list[str]) -> list[bytes]:
+        """Ids of side a; each distinct pre-token is merged once."""
+        parts = [SPLITTER.findall(s) for s in stretches]
+        if len(self.parts) > self.limit:
+            self.parts = {}
+        wanted = [p for p in set().union(*parts) if p not in self.parts]
+        known = self.parts
+        if wanted:
+            ids = np.array(self.a.encode_batch_fast(
+                [wanted], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.uint32)
+            # Tokens cover the bytes of the pre-tokens without a gap, so these tell where each ends.
+            sizes = np.array([len(p.encode()) for p in wanted])
+            ends = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum(sizes)) + 1
+            raw, cuts = ids.tobytes(), (4 * ends).tolist()
+            found = {p: raw[x:y] for p, x, y in zip(wanted, [0, *cuts], cuts)}
+            self.parts.update((p, x) for p, x in found.items() if len(p) <= self.longest)
+            known = self.parts if max(map(len, wanted)) <= self.longest else self.parts | found
+        return [b"".join(map(known.__getitem__, some)) for some in parts]
+
+    @staticmethod
+    def _give_back(table: list[bytes], sizes: np.ndarray, ids: list[bytes],
+                   data: list[bytes]) -> bool:
+        """Whether the ids' bytes are the data, each of its own."""
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        reach = np.concatenate([[0], np.cumsum(sizes[flat])])
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        return (np.diff(reach[ends], prepend=0) == list(map(len, data))).all() and (
+            b"".join(map(table.__getitem__, flat.tolist())) == b"".join(data))
 
 
 @lru_cache(maxsize=2)
