@@ -9,7 +9,7 @@ from breadthline import config as c
 from breadthline.functions import rules
 from breadthline.functions.numbers import flag, number, share_pct
 from breadthline.operators.indicators import trend_frame
-from breadthline.operators.ranking import exact_medians
+from breadthline.operators.ranking import medians, value_counts
 from breadthline.session import land
 
 
@@ -111,30 +111,31 @@ def with_benchmark_column(history: DataFrame, benchmark: DataFrame, ticker: str)
 def industry_leadership(rows: DataFrame, industry: str = "Industry") -> DataFrame:
     """One row per industry: medians, stage 2, participation, breakouts.
 
-    RS has at most 99 values, so its exact median keeps a table of 99 counts
-    per group; the median return has no such bound and is bracketed instead.
-    `rows` is read three times, so give a written snapshot.
+    The snapshot is read once, into counts by industry, score and three-month return. RS has at most
+    99 values, so its exact median keeps a table of 99 counts per group; the median return has no
+    such bound and is found among the counted values.
     """
-    work = rows.withColumn(
-        "_industry", F.coalesce(F.col(industry).cast("string"), F.lit("Unclassified"))
-    )
+    work = rows.select(
+        F.coalesce(F.col(industry).cast("string"), F.lit("Unclassified")).alias("_industry"),
+        "*", *([] if "R3M" in rows.columns else [F.lit(None).cast("double").alias("R3M")]))
     out = {
-        "Stocks": F.count("Symbol"),
-        "Median_RS": F.median("RS_Score"),
-        "Stage2": F.count_if(rules.in_stage("Stage", 2)),
-        "Participation": F.count_if(above_long_line(rows)),
-        "_classified": F.count_if(classified()),
+        "Stocks": F.col("Symbol").isNotNull(),
+        "Stage2": flag(rules.in_stage("Stage", 2)),
+        "Participation": flag(above_long_line(rows)),
+        "_classified": flag(classified()),
     }
     for source, name in (("Breakout_Confirmed", "Confirmed"), ("Near_52W_High", "Near_High")):
         if source in rows.columns:
-            out[name] = F.count_if(flag(F.col(source)))
-    grouped = work.groupBy("_industry").agg(*[v.alias(n) for n, v in out.items()])
-    if "R3M" in rows.columns:
-        grouped = grouped.join(
-            exact_medians(work, ["_industry"], "R3M", "Median_R3M"), "_industry", "left"
-        )
-    else:
-        grouped = grouped.withColumn("Median_R3M", F.lit(None).cast("double"))
+            out[name] = flag(F.col(source))
+    counts = value_counts(work, ["_industry", "RS_Score"], "R3M", **{
+        name: test.cast("long") for name, test in out.items()})
+    grouped = counts.groupBy("_industry").agg(
+        F.percentile("RS_Score", 0.5, F.col("n")).alias("Median_RS"),
+        *[F.sum(name).alias(name) for name in out])
+    by_return = value_counts(counts, ["_industry"], "R3M", of=F.col("n")).drop("n").withColumnRenamed(
+        "of", "n")
+    grouped = grouped.join(
+        medians(by_return, ["_industry"], "R3M", "Median_R3M"), "_industry", "left")
     return (
         grouped.withColumn(
             "Participation_Pct", share_pct(F.col("Participation"), F.col("_classified")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from breadthline import config as c
 from breadthline.functions.numbers import finite
+from breadthline.session import land
 
 RANGES = 256
 SKETCH_ACCURACY = 10000
@@ -67,58 +68,61 @@ def rs_score(rows: DataFrame, blend: str = "RS_Blend", name: str = "RS_Score") -
     ).drop("_levels")
 
 
-def exact_medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Exact median per group, by bracketing instead of collecting the group.
+def value_counts(rows: DataFrame, keys: list[str], value: str, **sums: Column) -> DataFrame:
+    """The one pass over `rows` that counts, sums and medians of a value can be read off: a written
+    table of (keys, value, n and the given sums), dealt by range of (keys, value).
 
-    A quantile sketch of fixed size cuts out the middle of each group into a few
-    narrow ranges. Values below are only counted; equal values inside a range
-    are merged; the middle ranks are read off a running count within one range.
-    A task therefore sorts about one ten-thousandth of a group, however large
-    the group is. `rows` is read three times, so give a written table.
+    Equal values are merged before they move. A group however large lies in as many ranges as it
+    fills, so no task meets it whole; `range` says in which a row lies. NULL values stay.
     """
-    v = F.col(value)
-    known = rows.filter(finite(value).isNotNull()).select(*keys, value)
-    steps = [0.5 + i / SKETCH_ACCURACY for i in range(-8, 9)]
-    cuts = known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, steps, SKETCH_ACCURACY).alias("_cuts"),
-    )
-    # Range 0 lies below the middle and needs no values, only their number.
-    ranged = known.join(cuts, keys).filter(v <= F.element_at("_cuts", -1)).withColumn(
-        "_range",
-        F.when(v < F.col("_cuts")[0], 0).otherwise(
-            1 + F.size(F.filter(F.col("_cuts"), lambda cut: cut < v))
-        ),
-    )
-    merged = ranged.withColumn("_value", F.when(F.col("_range") > 0, v)).groupBy(
-        *keys, "_n", "_range", "_value"
-    ).agg(F.count(F.lit(1)).alias("_count"))
-    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_total"))
-    # At most 18 ranges per group.
-    by_range = Window.partitionBy(*keys).orderBy("_range")
-    before = totals.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_total").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).drop("_total")
-    in_range = Window.partitionBy(*keys, "_range").orderBy("_value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    placed = merged.join(before, [*keys, "_range"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_count").over(in_range)
-    ).withColumn("_from", F.col("_upto") - F.col("_count") + 1)
+    merged = rows.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(n) for n, v in sums.items()])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return land(
+        merged.repartitionByRange(parts, *keys, value)
+        .select("*", F.spark_partition_id().alias("range")), "value_counts")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank <= F.col("_upto")), F.col("_value")))
 
-    middle = placed.groupBy(*keys).agg(
-        at(F.floor((F.col("_n") + 1) / 2)).alias("_a"),
-        at(F.floor((F.col("_n") + 2) / 2)).alias("_b"),
-    )
+def medians(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Exact median of each group's finite values, from `value_counts`.
+
+    How many values of a group lie before each of its ranges says which one or two ranges hold the
+    middle; only their rows are brought into order and counted on. A group without a finite value
+    has no row; NULL keys are a group.
+    """
+    known = counts.filter(finite(value).isNotNull())
+    totals = known.groupBy(*keys, "range").agg(F.sum("n").alias("_here"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = totals.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("range").alias("_range"), "_here",
+        F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_here").over(group).alias("_all"),
+    ).withColumns({
+        "_low": F.floor((F.col("_all") + 1) / 2), "_high": F.floor((F.col("_all") + 2) / 2),
+    }).filter((F.col("_before") < F.col("_high")) & (F.col("_low") <= F.col("_before") + F.col("_here")))
+    same = F.col("range") == F.col("_range")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    in_range = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    placed = known.join(wanted, same).withColumn(
+        "_upto", F.col("_before") + F.sum("n").over(in_range)
+    ).withColumn("_from", F.col("_upto") - F.col("n") + 1)
+
+    def at(rank: str) -> Column:
+        return F.max(F.when(F.col(rank).between(F.col("_from"), F.col("_upto")), F.col(value)))
+
+    middle = placed.groupBy(*keys).agg(at("_low").alias("_a"), at("_high").alias("_b"))
     return middle.select(*keys, ((F.col("_a") + F.col("_b")) / 2.0).alias(name))
 
 
+def exact_medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Exact median per group, from one pass over `rows`."""
+    known = rows.filter(finite(value).isNotNull()).select(*keys, value)
+    return medians(value_counts(known, keys, value), keys, value, name)
+
+
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows; the symbol breaks ties so that the cut is stable."""
     return rows.orderBy(*order, F.asc("Symbol")).limit(k)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from breadthline import config as c
 from breadthline.functions.numbers import finite, flag, number, truthy
 from breadthline.operators.corporate import is_jump
-from breadthline.operators.ranking import exact_medians
+from breadthline.operators.ranking import medians, value_counts
 from breadthline.session import land
 
 RECORD_SCHEMA = T.StructType([
@@ -243,41 +243,36 @@ def grade(
         "snapshot_date", F.col("Symbol").cast("string").alias("symbol"),
         *[t.alias(f"in_{n}") for n, t in tests.items()],
     ).join(due, "snapshot_date")
-    # The counts and the medians read these rows several times; without a written
-    # table each read would go back to the windows over the bars.
-    priced = land(members.join(
+    priced = members.join(
         returns.select("symbol", *by_pair, "return_pct"), ["symbol", *by_pair], "left"
-    ), "priced")
-    ret = finite("return_pct")
-    measures = []
-    for name in tests:
-        member = F.col(f"in_{name}")
-        mine = F.when(member, ret)
-        measures.append(F.struct(
-            F.lit(name).alias("cohort"),
-            F.count_if(member).alias("n"),
-            F.count(mine).alias("n_priced"),
-            F.avg(mine).alias("_mean"),
-            F.avg((mine > 0).cast("double")).alias("_hit"),
-        ))
-    counts = priced.groupBy(*by_pair).agg(F.array(*measures).alias("cohorts")).select(
-        *by_pair, F.inline("cohorts")
-    )
-    exploded = priced.filter(ret.isNotNull()).select(
-        *by_pair, "return_pct",
-        F.explode(F.array_compact(F.array(*[
-            F.when(F.col(f"in_{n}"), F.lit(n)) for n in tests
-        ]))).alias("cohort"),
-    )
-    medians = land(
-        exact_medians(exploded, [*by_pair, "cohort"], "return_pct", "_median"), "medians"
-    )
-    universe = medians.filter(F.col("cohort") == "universe").select(
+    ).select(*by_pair, finite("return_pct").alias("return_pct"), F.explode(F.array_compact(F.array(*[
+        F.when(F.col(f"in_{n}"), F.lit(n)) for n in tests
+    ]))).alias("cohort"))
+    # Everything below is read off this table; the joins above run once.
+    group = [*by_pair, "cohort"]
+    counts = value_counts(priced, group, "return_pct")
+    known = F.when(F.col("return_pct").isNotNull(), F.col("n"))
+    stats = land(
+        counts.groupBy(*group).agg(
+            F.sum("n").alias("n"), F.sum(known).alias("n_priced"),
+            F.sum(F.col("return_pct") * F.col("n")).alias("_sum"),
+            F.sum(F.when(F.col("return_pct") > 0, F.col("n"))).alias("_hits"),
+        ).join(medians(counts, group, "return_pct", "_median"), group, "left"), "cohort_stats")
+    universe = stats.filter(F.col("cohort") == "universe").select(
         *by_pair, F.col("_median").alias("_universe")
     )
+    # Every cohort has a row, also one without members.
+    names = F.array(*[F.lit(n) for n in tests])
+    nothing = F.lit(0).cast("long")
     graded = (
-        counts.join(medians, [*by_pair, "cohort"], "left")
-        .join(universe, by_pair, "left").join(index, by_pair, "left")
+        universe.withColumn("cohort", F.explode(names)).join(stats, group, "left")
+        .join(index, by_pair, "left")
+        .withColumns({
+            "n": F.coalesce("n", nothing), "n_priced": F.coalesce("n_priced", nothing),
+            "_mean": F.col("_sum") / F.col("n_priced"),
+            "_hit": F.when(F.col("n_priced") > 0,
+                           F.coalesce("_hits", nothing) / F.col("n_priced")),
+        })
     )
 
     def rounded(value: Column) -> Column:

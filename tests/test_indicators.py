@@ -170,6 +170,30 @@ def test_exact_medians(spark):
     assert {r["k"]: r["m"] for r in got.collect()} == pytest.approx(want.to_dict(), abs=1e-15)
 
 
+def test_medians_of_one_group_with_most_rows(spark, tmp_path):
+    """Nine tenths of all rows in one group, other groups small, null keys, infinite and missing."""
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(0, 1, 60_001).round(5), np.full(30_000, 0.01)])
+    frame = pd.concat([
+        pd.DataFrame({"k": "most", "x": values}),
+        pd.DataFrame({"k": [f"g{i % 40}" for i in range(9_999)], "x": rng.normal(5, 2, 9_999)}),
+        pd.DataFrame({"k": None, "x": [1.0, 2.0, 9.0, 4.0]}),
+        pd.DataFrame({"k": "odd", "x": [np.inf, -np.inf, 7.0]}),
+    ], ignore_index=True)
+    rows = spark.createDataFrame(frame).union(
+        spark.createDataFrame([("empty", None), ("odd", None)], "k string, x double"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    counts = ranking.value_counts(rows, ["k"], "x")
+    sizes = [r["count"] for r in counts.groupBy("range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.35 * sum(sizes)
+    found = ranking.medians(counts, ["k"], "x", "m")
+    assert not any("rows" in name.split("/")[-2] for name in found.inputFiles())
+    want = frame[np.isfinite(frame["x"])].groupby("k", dropna=False)["x"].median()
+    want = {None if k != k else k: v for k, v in want.items()}
+    assert {r["k"]: r["m"] for r in found.collect()} == pytest.approx(want, abs=1e-15)
+
+
 def test_trend_chart_and_candles(spark):
     frame = pd.concat([walk("A", 1, blanks=0.05), walk("B", 2, sessions=30)])
     bars = bars_of(spark, frame)
