@@ -24,11 +24,13 @@ left out, an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -71,6 +73,16 @@ PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Many small objects without cycles come and go: looking for cycles would only take time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class Encoder:
     """The library's ids of texts, end id last; keeps those of stretches it has seen."""
 
@@ -118,22 +130,27 @@ class Encoder:
         if len(self.kept) + len(words) > self.limit:
             self.kept = {}
         kept = self.kept
-        missing = [w for w in words if w not in kept]
-        plain = {w: PARTS.findall(w.lower()) for w in missing if PLAIN.fullmatch(w)}
-        known = self._library([w for w in missing if w not in plain])
-        known |= self._cut([p for p in set().union(*plain.values()) if p not in kept])
+        found = list(map(kept.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        if not missing:
+            return found
+        plain = [w for w in missing if PLAIN.fullmatch(w)]
+        parts = [PARTS.findall(w.lower()) for w in plain]
+        known = self._library(list(set(missing).difference(plain)))
+        known |= self._cut([p for p in set().union(*parts) if p not in kept])
         kept.update((w, ids) for w, ids in known.items() if len(w) <= 64)
-        for word, some in plain.items():
-            known[word] = b"".join([known[p] if p in known else kept[p] for p in some])
+        for word, some in zip(plain, parts):
+            known[word] = ids = b"".join([known[p] if p in known else kept[p] for p in some])
             if len(word) <= 64:
-                kept[word] = known[word]
-        return [kept[w] if w in kept else known[w] for w in words]
+                kept[word] = ids
+        return [known[w] if ids is None else ids for w, ids in zip(words, found)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has, the end id included."""
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        found = self.stretches(coded.dictionary.to_pylist())
+        with no_collection():
+            found = self.stretches(coded.dictionary.to_pylist())
         data = np.frombuffer(b"".join(found), dtype=self.kind)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         firsts = np.cumsum(sizes) - sizes
