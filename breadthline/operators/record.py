@@ -15,6 +15,7 @@ from breadthline.functions.numbers import finite, flag, number, truthy
 from breadthline.operators.corporate import is_jump
 from breadthline.operators.ranking import medians, value_counts
 from breadthline.session import land
+from breadthline.sources.commits import Entry, Log
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("snapshot_date", T.DateType()),
@@ -100,31 +101,44 @@ def frozen(rows: DataFrame, boundary: dt.date) -> DataFrame:
     return rows.select(F.lit(boundary).alias("snapshot_date"), *columns)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether the file system that owns the path has it."""
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.exists(location)
-
-
 def archive_snapshot(rows: DataFrame, folder: str, boundary: dt.date) -> str | None:
-    """Write the snapshot under its session; the first write wins.
+    """Archive the snapshot of its session; the first write wins, also of writers side by side.
 
-    One session is one folder and the writer refuses an existing one, so a
-    second run of the same session changes nothing. A folder counts as written
-    when the job's success marker is there; a failed attempt is replaced.
+    An attempt is written whole before it can count, and counts only where the log has no attempt
+    for the session yet. A failed attempt leaves the session open.
     """
-    path = f"{folder.rstrip('/')}/snapshot_date={boundary.isoformat()}"
-    if _exists(rows.sparkSession, f"{path}/_SUCCESS"):
+    log, key = Log(rows.sparkSession, folder), boundary.isoformat()
+
+    def is_first(known: list[Entry]) -> bool:
+        return all(entry.key != key for entry in known)
+
+    if not is_first(log.entries()):
+        return None
+    attempt = log.begin()
+    path = log.write(frozen(rows, boundary), attempt)
+    if log.commit(attempt, key, allowed=is_first) is None:
+        log.discard(attempt)
         return None
-    frozen(rows, boundary).drop("snapshot_date").write.mode("overwrite").parquet(path)
     return path
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """Every archived session; the session is the partition column."""
-    rows = spark.read.option("basePath", folder).parquet(folder)
-    return rows.withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+def archived_days(spark: SparkSession, folder: str) -> DataFrame:
+    """(snapshot_date) of every archived session, from the log alone."""
+    days = [(dt.date.fromisoformat(entry.key),) for entry in Log(spark, folder).entries()]
+    return spark.createDataFrame(days, "snapshot_date date")
+
+
+def read_archive(spark: SparkSession, folder: str, days: list[dt.date] | None = None) -> DataFrame:
+    """The archived sessions (or those of `days`), one attempt of each, no other file is opened.
+
+    Columns that the method got later are NULL in the sessions before.
+    """
+    log = Log(spark, folder)
+    wanted = days and {day.isoformat() for day in days}
+    paths = [log.path(entry.attempt) for entry in log.entries() if not wanted or entry.key in wanted]
+    if not paths:
+        raise FileNotFoundError(f"nothing has been archived in {folder}")
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
 
 
 # --- forward returns -----------------------------------------------------------------
@@ -308,17 +322,42 @@ def empty_record(spark: SparkSession) -> DataFrame:
 
 def ensure_record(spark: SparkSession, path: str) -> bool:
     """Write an empty record where there is none; never touches an existing one."""
-    if _exists(spark, f"{path}/_SUCCESS"):
+    log = Log(spark, path)
+    if log.entries():
+        return False
+    attempt = log.begin()
+    log.write(empty_record(spark), attempt)
+    if log.commit(attempt, "empty", allowed=lambda known: not known) is None:
+        log.discard(attempt)
         return False
-    empty_record(spark).write.mode("overwrite").parquet(path)
     return True
 
 
-def append_grades(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Append the rows the record lacks. Earlier files are not rewritten."""
+def read_record(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the record; an empty one where there is none."""
+    paths = Log(spark, path).paths()
+    if not paths:
+        return empty_record(spark)
+    return spark.read.schema(RECORD_SCHEMA).parquet(*paths)
+
+
+def append_grades(spark: SparkSession, path: str, new: DataFrame) -> int:
+    """Append the rows the record lacks; their number. Earlier files are not rewritten.
+
+    What is missing is decided against the log as it is; where another writer commits first, it is
+    decided again, so that a key is never in the record twice.
+    """
     ensure_record(spark, path)
-    existing = spark.read.schema(RECORD_SCHEMA).parquet(path)
-    fresh = new.select(*RECORD_SCHEMA.fieldNames()).join(
-        existing.select(*c.RECORD_KEY), list(c.RECORD_KEY), "left_anti"
-    )
-    fresh.select(*RECORD_SCHEMA.fieldNames()).write.mode("append").parquet(path)
+    new = land(new.select(*RECORD_SCHEMA.fieldNames()), "grades")
+    log = Log(spark, path)
+    while True:
+        seen = log.entries()
+        existing = read_record(spark, path)
+        fresh = new.join(existing.select(*c.RECORD_KEY), list(c.RECORD_KEY), "left_anti")
+        attempt = log.begin()
+        written = spark.read.schema(RECORD_SCHEMA).parquet(log.write(fresh, attempt)).count()
+        if written and log.commit(attempt, "grades", allowed=lambda known: known == seen):
+            return written
+        log.discard(attempt)
+        if not written:
+            return 0

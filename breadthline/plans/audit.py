@@ -77,7 +77,7 @@ def run_audit(
     size = universe.count()
     min_pct = 100.0 - max_loss_pct
     day = boundary.information_boundary(bars, size, decision, min_pct)
-    floor = boundary.published_boundary(spark, f"{folder}/research")
+    floor = sinks.published_session(spark, folder)
     if floor is not None and day < floor:
         return AuditResult(day, notes=[f"published snapshot already describes {floor}"])
 
@@ -110,20 +110,25 @@ def run_audit(
     if benchmark is not None:
         history = aggregates.with_benchmark_column(history, benchmark, benchmark_ticker)
 
-    result = AuditResult(day, before, published=True)
-    sinks.publish(current, folder, "research")
-    sinks.publish(missing, folder, "excluded")
-    sinks.publish(events, folder, "corporate_actions")
+    result = AuditResult(day, before)
+    run = sinks.Publication(spark, folder)
+    run.write(current, "research")
+    run.write(missing, "excluded")
+    run.write(events, "corporate_actions")
     if previous is not None:
-        sinks.publish(
+        run.write(
             corporate.flag_rows(previous, corporate.report(inside, before, published, threshold)),
-            folder, "previous",
+            "previous",
         )
     else:
         result.notes.append("no earlier session covers the universe; changes are unavailable")
-    sinks.publish(history, folder, "breadth")
-    panel.write_panel(panel.panel_of(trends), f"{folder}/panel")
-    sinks.publish(boundary.maturing(current, inside, day, min_sessions), folder, "maturing")
+    run.write(history, "breadth")
+    panel.write_panel(panel.panel_of(trends), run.path("panel"))
+    run.write(boundary.maturing(current, inside, day, min_sessions), "maturing")
+    result.published = run.commit(day)
+    if not result.published:
+        result.notes.append("another run published a later session meanwhile")
+        return result
     result.archived = record.archive_snapshot(current, f"{folder}/snapshots", day)
     result.notes.append(f"{excluded} of {size} symbols without a close at {day}")
     return result

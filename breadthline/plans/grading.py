@@ -19,12 +19,14 @@ def run_grading(
     """The new grades; appended to the record unless this is a dry run."""
     if not dry_run:
         record.ensure_record(spark, record_path)
-    snapshots = record.read_archive(spark, archive)
-    existing = None if dry_run else spark.read.schema(record.RECORD_SCHEMA).parquet(record_path)
-    days = snapshots.select("snapshot_date").distinct()
+    existing = None if dry_run else record.read_record(spark, record_path)
+    days = record.archived_days(spark, archive)
     due = land(
         record.pending(days, existing, benchmark.filter("close IS NOT NULL")), "due"
     )
+    # A few days, whatever the universe; only their files are opened.
+    wanted = [row[0] for row in due.select("snapshot_date").distinct().collect()]
+    snapshots = record.read_archive(spark, archive, wanted)
     grades = land(
         record.grade(snapshots, bars, benchmark, due, graded_on, guard, threshold), "grades"
     )

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breadthline.functions import rules, text
 from breadthline.functions.numbers import number
 from breadthline.operators import boundary, universe
+from breadthline.sources.sinks import published
 
 V21_FIELDS = ("Close", "MA_10W", "Low_52W", "Ext_Pct", "Pct_From_52W_High", "Trend_Health")
 V22_FIELDS = (
@@ -154,32 +154,29 @@ class Snapshot:
         return all(n in self.research.columns for n in columns)
 
 
-def _must_be_absent(error: PySparkException) -> None:
-    """Only a path that is not there means "not published"; a table that cannot be read is a fault."""
-    if error.getCondition() != "PATH_NOT_FOUND":
-        raise error
-
-
 def load_snapshot(spark: SparkSession, folder: str, constituents: DataFrame) -> Snapshot:
-    """Read the published tables of one run as one set, from one folder."""
-    folder = folder.rstrip("/")
-    research = read_research(spark, f"{folder}/research", constituents)
+    """The published set of a folder; all of its tables are of one run.
+
+    The commit log is read once, so a run that publishes meanwhile does not mix into the set.
+    """
+    tables = published(spark, folder)
+    if tables is None:
+        raise FileNotFoundError(f"nothing has been published in {folder}")
+    research = read_research(spark, tables["research"], constituents)
     snapshot = Snapshot(research=research, universe=constituents)
     for key, names in (("v21_fields", V21_FIELDS), ("v22_fields", V22_FIELDS)):
         absent = [n for n in names if n not in research.columns]
         if absent:
             snapshot.missing[key] = f"This snapshot carries no {', '.join(absent)}."
-    try:
-        snapshot.previous = read_research(spark, f"{folder}/previous", constituents)
-    except PySparkException as error:
-        _must_be_absent(error)
+    if "previous" in tables:
+        snapshot.previous = read_research(spark, tables["previous"], constituents)
+    else:
         snapshot.missing["previous"] = (
             "No previous-session snapshot has been published, so changes cannot be computed."
         )
-    try:
-        snapshot.breadth = read_breadth(spark, f"{folder}/breadth")
-    except PySparkException as error:
-        _must_be_absent(error)
+    if "breadth" in tables:
+        snapshot.breadth = read_breadth(spark, tables["breadth"])
+    else:
         snapshot.missing["breadth"] = (
             "No breadth history has been published, so the trend cannot be drawn."
         )

@@ -203,7 +203,7 @@ def test_append_only_keeps_the_past(spark, tmp_path):
 
     record.append_grades(spark, path, grade("universe", 5))
     record.append_grades(spark, path, grade("universe", 7).unionByName(grade("buy_star", 1)))
-    rows = spark.read.parquet(path).collect()
+    rows = record.read_record(spark, path).collect()
     assert {(r["cohort"], r["n"]) for r in rows} == {("universe", 5), ("buy_star", 1)}
     merged = record.append_only(grade("universe", 5), grade("universe", 9))
     assert [r["n"] for r in merged.collect()] == [5]

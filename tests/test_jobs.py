@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import threading
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,7 +15,8 @@ from breadthline.operators import boundary, corporate, indicators, record, recon
 from breadthline.operators.corporate import MassEventError
 from breadthline.plans import audit, grading, research
 from breadthline.session import land, land_by_symbol, shared_folder
-from breadthline.sources import readers
+from breadthline.sources import readers, sinks
+from breadthline.sources.commits import Log, exists, put_if_absent
 from tests.helpers import bars_of, day, walk
 
 DECISION = day("2026-08-22")
@@ -45,7 +50,7 @@ def test_audit_publishes_then_refuses_to_go_back(spark, market, tmp_path):
     assert snapshot.missing == {} and snapshot.has("RS_Score", "Trend_Health")
     assert snapshot.research.count() == 25 and snapshot.previous.count() > 0
     assert snapshot.breadth.filter("benchmark_ticker = 'INDEX'").count() > 100
-    maturing = spark.read.parquet(f"{folder}/maturing").collect()
+    maturing = spark.read.parquet(sinks.published(spark, folder)["maturing"]).collect()
     assert [r["Symbol"] for r in maturing] == ["YOUNG"]
     assert record.read_archive(spark, f"{folder}/snapshots").count() == 25
 
@@ -68,12 +73,13 @@ def test_audit_leaves_out_malformed_symbols_and_outsiders(spark, market, tmp_pat
         spark, some.unionByName(doubled).unionByName(outsiders), names, DECISION, folder, index,
         "INDEX", max_loss_pct=10)
     assert done.published and done.boundary == day("2026-08-20")
+    tables = sinks.published(spark, folder)
     excluded = {r["symbol"]: r["reason"]
-                for r in spark.read.parquet(f"{folder}/excluded").collect()}
+                for r in spark.read.parquet(tables["excluded"]).collect()}
     assert excluded == {"S03": boundary.DUPLICATES}
-    current = spark.read.parquet(f"{folder}/research")
+    current = spark.read.parquet(tables["research"])
     assert current.count() == 24
-    previous = spark.read.parquet(f"{folder}/previous")
+    previous = spark.read.parquet(tables["previous"])
     assert previous.join(current, "Symbol", "left_anti").isEmpty()
 
 
@@ -91,7 +97,7 @@ def test_unreadable_tables_are_not_unpublished(spark, market, tmp_path):
     bars, names, index = market
     folder = tmp_path / "out"
     audit.run_audit(spark, bars, names, DECISION, str(folder), index, "INDEX")
-    for part in (folder / "previous").glob("*.parquet"):
+    for part in Path(sinks.published(spark, str(folder))["previous"]).glob("*.parquet"):
         part.write_bytes(b"broken")
     with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
         readers.load_snapshot(spark, str(folder), names).previous.count()
@@ -118,7 +124,7 @@ def test_audit_stops_before_writing(spark, market, tmp_path):
     stale = bars.filter("NOT (date > DATE '2025-08-01' AND symbol IN ('S01', 'S02'))")
     with pytest.raises(boundary.CoverageError):
         audit.run_audit(spark, stale, names, DECISION, folder, index)
-    assert boundary.published_boundary(spark, f"{folder}/research") is None
+    assert sinks.published(spark, folder) is None
 
 
 def test_both_computations_agree_and_a_wrong_one_is_found(spark, market):
@@ -153,10 +159,10 @@ def test_grading_appends_once(spark, market, tmp_path):
     pairs = {(str(r["snapshot_date"]), r["horizon_weeks"]) for r in first.collect()}
     assert pairs == {("2026-05-04", 4), ("2026-05-04", 8), ("2026-05-04", 13),
                      ("2026-06-01", 4), ("2026-06-01", 8)}
-    stored = spark.read.parquet(path)
+    stored = record.read_record(spark, path)
     assert stored.count() == 25 and stored.filter("n_priced > n").count() == 0
     second = grading.run_grading(spark, archive, path, bars, index, day("2026-08-23"))
-    assert second.count() == 0 and spark.read.parquet(path).count() == 25
+    assert second.count() == 0 and record.read_record(spark, path).count() == 25
 
 
 def plan_of(df) -> str:
@@ -201,3 +207,128 @@ def test_score_never_sorts_all_symbols_in_one_task(spark):
 def test_intermediate_tables_live_in_the_configured_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark).startswith((folder or shared_folder(spark)).rstrip("/"))
+
+
+# --- publication, archive and record side by side -----------------------------------------------
+
+def set_of(spark, folder, day_, word, names=("research", "breadth")):
+    run = sinks.Publication(spark, folder)
+    for name in names:
+        run.write(spark.createDataFrame([(word, day_)], "word string, day date"), name)
+    return run
+
+
+def words(spark, folder):
+    return {name: [r["word"] for r in spark.read.parquet(path).collect()]
+            for name, path in sinks.published(spark, folder).items()}
+
+
+def test_a_run_stopped_between_two_tables_leaves_the_old_set(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    assert sinks.published(spark, folder) is None and sinks.published_session(spark, folder) is None
+    assert set_of(spark, folder, day("2026-08-20"), "old").commit(day("2026-08-20"))
+    stopped = set_of(spark, folder, day("2026-08-21"), "half", names=("research",))
+    assert words(spark, folder) == {"research": ["old"], "breadth": ["old"]}
+    broken = spark.range(8).select(
+        F.when(F.col("id") < 7, "x").otherwise(F.raise_error(F.lit("lost"))).alias("word"))
+    with pytest.raises(Exception, match="lost"):
+        stopped.write(broken, "breadth")
+    assert words(spark, folder) == {"research": ["old"], "breadth": ["old"]}
+    # A reader that has begun keeps its set while another one is published.
+    before = spark.read.parquet(sinks.published(spark, folder)["breadth"])
+    assert set_of(spark, folder, day("2026-08-21"), "new").commit(day("2026-08-21"))
+    assert [r["word"] for r in before.collect()] == ["old"]
+    assert words(spark, folder) == {"research": ["new"], "breadth": ["new"]}
+
+
+def test_publishing_never_goes_back_and_old_sets_expire(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    late = set_of(spark, folder, day("2026-08-20"), "early")
+    assert set_of(spark, folder, day("2026-08-21"), "first").commit(day("2026-08-21"))
+    assert not late.commit(day("2026-08-20")) and not exists(spark, late.path("research"))
+    assert set_of(spark, folder, day("2026-08-21"), "again").commit(day("2026-08-21"))
+    assert words(spark, folder)["research"] == ["again"]
+    assert Log(spark, folder).expire(keep=1) == 1 and Log(spark, folder).expire(keep=1) == 0
+    assert words(spark, folder)["research"] == ["again"]
+
+
+def side_by_side(*jobs):
+    """Runs the jobs in threads of their own; their results."""
+    results = [None] * len(jobs)
+
+    def run(at, job):
+        results[at] = job()
+
+    threads = [threading.Thread(target=run, args=(i, job)) for i, job in enumerate(jobs)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    return results
+
+
+def test_one_file_is_put_once(spark, tmp_path):
+    for name in (str(tmp_path / "a" / "x"), f"file://{tmp_path}/b/x"):
+        done = side_by_side(*[lambda i=i: put_if_absent(spark, name, f"{i}") for i in range(8)])
+        assert done.count(True) == 1
+        path = Path(name.removeprefix("file://"))
+        assert path.read_text() == str(done.index(True))
+        # No draft is left for readers of the folder.
+        assert [p.name for p in path.parent.iterdir() if not p.name.endswith(".crc")] == ["x"]
+
+
+def test_a_rename_refuses_an_existing_file_too(spark, tmp_path):
+    from breadthline.sources import commits
+
+    for name in ("one", "two"):
+        (tmp_path / name).write_text(name)
+    assert commits._rename(spark, f"file://{tmp_path}/one", f"file://{tmp_path}/three")
+    assert not commits._rename(spark, f"file://{tmp_path}/two", f"file://{tmp_path}/three")
+    assert (tmp_path / "three").read_text() == "one" and (tmp_path / "two").exists()
+
+
+def test_two_archives_of_one_session_keep_one(spark, market, tmp_path):
+    bars, names, index = market
+    rows = land(research.research(bars, names, day("2026-08-21"), index, 200), "rows")
+    folder = str(tmp_path / "archive")
+    gate = threading.Barrier(3)
+    plain = Log.write
+
+    def write(self, *args):
+        path = plain(self, *args)
+        gate.wait(timeout=120)  # all three have written before one of them commits
+        return path
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Log, "write", write)
+        done = side_by_side(*[
+            lambda n=n: record.archive_snapshot(rows.withColumn("Close", F.lit(float(n))), folder,
+                                                day("2026-08-21")) for n in range(3)])
+    assert [d is not None for d in done].count(True) == 1
+    winner = [d is not None for d in done].index(True)
+    kept = record.read_archive(spark, folder)
+    assert kept.count() == rows.count()
+    assert [r[0] for r in kept.select("Close").distinct().collect()] == [float(winner)]
+    assert len(list((tmp_path / "archive" / "attempts").iterdir())) == 1
+    assert record.archive_snapshot(rows, folder, day("2026-08-21")) is None
+    assert record.archive_snapshot(rows, folder, day("2026-08-24")) is not None
+    days = [r[0] for r in record.archived_days(spark, folder).orderBy("snapshot_date").collect()]
+    assert days == [dt.date(2026, 8, 21), dt.date(2026, 8, 24)]
+    only = record.read_archive(spark, folder, [dt.date(2026, 8, 24)])
+    assert [r[0] for r in only.select("snapshot_date").distinct().collect()] == days[1:]
+
+
+def test_two_writers_never_grade_a_key_twice(spark, tmp_path):
+    path = str(tmp_path / "record")
+    names = record.RECORD_SCHEMA.fieldNames()
+
+    def grades(*cohorts, n):
+        rows = [tuple({"snapshot_date": day("2026-05-04"), "horizon_weeks": 4, "cohort": x,
+                       "n": n}.get(f) for f in names) for x in cohorts]
+        return spark.createDataFrame(rows, record.RECORD_SCHEMA)
+
+    added = side_by_side(
+        lambda: record.append_grades(spark, path, grades("universe", "buy_star", n=1)),
+        lambda: record.append_grades(spark, path, grades("universe", "trend_template", n=2)))
+    found = record.read_record(spark, path)
+    assert sorted(added) == [1, 2] and found.count() == 3
+    assert found.select("cohort").distinct().count() == 3
+    assert record.append_grades(spark, path, grades("universe", "buy_star", n=3)) == 0
