@@ -311,7 +311,9 @@ def block_of(texts: list[str | None], both: Sides) -> Block:
                 tokens += [] if whole is None else [whole]
                 odd = np.append(odd, [False] * (len(tokens) - len(odd)))
         sizes, flat = np.array([len(x) for x in parts]), np.concatenate(parts)
-        tokens = [(b"", b"") if found is None else found for found in tokens]
+        # Stretches that only texts without tokens have must leave no pairs.
+        used = np.bincount(flat.astype(np.int64), minlength=len(tokens)) > 0
+        tokens = [found if found and some else (b"", b"") for found, some in zip(tokens, used)]
     count = len(tokens)
     a = np.frombuffer(b"".join([x for x, _ in tokens]), np.uint32).astype(np.int64)
     b = np.frombuffer(b"".join([y for _, y in tokens]), np.uint32).astype(np.int64)

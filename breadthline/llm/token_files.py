@@ -269,19 +269,19 @@ class TokenFile:
 
 # --- tables ---------------------------------------------------------------------------------------
 
-def batches_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in runs of about BATCH_BYTES of text."""
+def batches_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in runs of about `size` bytes of text."""
     sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64))
     start = 0
     while start < len(sizes):
         before = int(sizes[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1,
-          file_ids: int = FILE_IDS) -> DataFrame:
+          file_ids: int = FILE_IDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Writes the token files of `docs` to a shared folder; the table of files, `FILES`."""
     path = path or default_path()
     store(folder)[0].create_dir(store(folder)[1], recursive=True)
@@ -303,7 +303,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1,
             rows.append((part, len(rows), writer.uri, n_docs, writer.n_ids, n_bytes))
 
         for batch in batches:
-            for some in batches_of(batch):
+            for some in batches_of(batch, batch_bytes):
                 if writer is None:
                     part = some.column("part")[0].as_py()
                     writer = Writer(f"{folder}/{part:05d}-{len(rows):04d}-{attempt}.ids", encode.kind)
