@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breadthline import config as c
@@ -75,12 +75,10 @@ def breadth_history(
 ) -> DataFrame:
     """Participation per session over each symbol's own last N trend rows.
 
-    `trends` has columns symbol, date, close, ma_10w, ma_30w.
+    `trends` has columns symbol, date, close, ma_10w, ma_30w and the recency that `trend_frame`
+    numbered: nothing is brought together by symbol again. A symbol's last row tells the symbols.
     """
-    recent = trends.withColumn(
-        "_recency",
-        F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))),
-    ).filter(F.col("_recency") <= sessions)
+    recent = trends.filter(F.col("recency") <= sessions)
     has = {w: F.col("close").isNotNull() & F.col(f"ma_{w}w").isNotNull() for w in (10, 30)}
     daily = recent.groupBy("date").agg(
         F.count_if(has[30]).alias("symbols"),
@@ -88,7 +86,7 @@ def breadth_history(
         F.count_if(has[10]).alias("symbols_ma_10w"),
         F.count_if(has[10] & (F.col("close") > F.col("ma_10w"))).alias("above_ma_10w"),
     )
-    universe = trends.agg(F.count_distinct("symbol")).scalar()
+    universe = trends.agg(F.count_if(F.col("recency") == 1)).scalar()
     floor = F.greatest(F.lit(1), F.floor(universe * F.lit(min_coverage)))
     return daily.filter(F.col("symbols") >= floor).withColumns({
         "pct_above_ma_30w": share_pct(F.col("above_ma_30w"), F.col("symbols")),

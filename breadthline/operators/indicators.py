@@ -316,11 +316,12 @@ def moving_averages(bars: DataFrame) -> DataFrame:
 
 
 def trend_frame(bars: DataFrame, sessions: int = c.PANEL_SESSIONS) -> DataFrame:
-    """Close, both averages and volume of each symbol's last N sessions."""
-    rows = moving_averages(bars).withColumn("_recency", F.row_number().over(newest_first()))
+    """Close, both averages and volume of each symbol's last N sessions, and how many sessions of the
+    symbol are as new (`recency`, 1 for its last one)."""
+    rows = moving_averages(bars).withColumn("recency", F.row_number().over(newest_first()))
     if sessions > 0:
-        rows = rows.filter(F.col("_recency") <= sessions)
-    return rows.select("symbol", "date", "close", "ma_10w", "ma_30w", "volume")
+        rows = rows.filter(F.col("recency") <= sessions)
+    return rows.select("symbol", "date", "close", "ma_10w", "ma_30w", "volume", "recency")
 
 
 def session_average(bars: DataFrame, sessions: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breadthline import config as c
@@ -75,6 +75,18 @@ def transition_counts(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
+def shown_first(moves: DataFrame, inline: int = c.MOVERS_INLINE) -> DataFrame:
+    """Adds `Inline`: whether a move is among the first of its group, by symbol, or with the rest.
+
+    Only the first rows of a group are ranked, each task keeping no more than that many of its own;
+    where they end is one symbol for each of the fixed groups, and every row compares itself with it.
+    """
+    place = F.row_number().over(Window.partitionBy("group").orderBy("Symbol"))
+    ends = moves.select("group", "Symbol", place.alias("place")).filter(
+        F.col("place") <= inline).groupBy("group").agg(F.max("Symbol").alias("_last"))
+    return moves.join(ends, "group").withColumn("Inline", F.col("Symbol") <= F.col("_last")).drop("_last")
+
+
 def rs_movers(current: DataFrame, previous: DataFrame, count: int = 15) -> DataFrame:
     """The largest changes of relative-strength rank, biggest rise first."""
     both = aligned(current, previous).withColumn("RS_Previous", number("was_RS_Score"))

@@ -82,6 +82,11 @@ def page(rows: DataFrame, sort: str, number_: int = 1, size: int = c.PAGE_SIZE,
     return ordered(rows, sort, sorts).offset((number_ - 1) * size).limit(size)
 
 
+def industries(board: DataFrame, sort: str = "Median RS (high to low)") -> DataFrame:
+    """The industry board in one of its orders."""
+    return ordered(board, sort, c.INDUSTRY_SORTS)
+
+
 def page_count(rows: DataFrame, size: int = c.PAGE_SIZE) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).alias("pages")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breadthline.functions import rules, text
@@ -40,37 +42,68 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return boundary.normalize_bars(boundary.validate_columns(spark.read.parquet(path)))
 
 
-def long_bars(wide: DataFrame, date: str = "Date", separator: str = "|") -> DataFrame:
-    """A wide multi-ticker response (columns 'TICKER|Field') as long bars.
-
-    The columns of one ticker become one struct, so a single explode turns a
-    row into one row per ticker; no join puts the fields back together.
-    """
-    tickers: dict[str, dict[str, str]] = {}
-    for name in wide.columns:
+def _header(names: list[str], separator: str) -> tuple[list[str], dict[str, list[int]]]:
+    """Tickers of the columns 'TICKER|Field', and per field the place of each ticker's column or -1."""
+    at: dict[str, dict[str, int]] = {}
+    for place, name in enumerate(names):
         if separator in name:
             ticker, measure = name.split(separator, 1)
-            tickers.setdefault(ticker, {})[measure.strip().lower()] = name
-    if not tickers:
+            at.setdefault(ticker, {})[measure.strip().lower()] = place
+    if not at:
         raise ValueError("the response has no ticker-level columns")
-    measures = sorted({m for fields in tickers.values() for m in fields})
-    per_ticker = [
-        F.struct(
-            F.lit(ticker).alias("symbol"),
-            *[
-                (F.col(f"`{fields[m]}`").cast("double") if m in fields
-                 else F.lit(None).cast("double")).alias(m)
-                for m in measures
-            ],
-        )
-        for ticker, fields in tickers.items()
-    ]
-    rows = wide.select(F.col(date).cast("date").alias("date"), F.inline(F.array(*per_ticker)))
-    known = [F.col(m).isNotNull() for m in measures]
-    anything = known[0]
-    for k in known[1:]:
-        anything = anything | k
-    return rows.filter(anything)
+    measures = sorted({m for fields in at.values() for m in fields})
+    return list(at), {m: [fields.get(m, -1) for fields in at.values()] for m in measures}
+
+
+def _paired(rows: DataFrame, names: list[str], separator: str) -> DataFrame:
+    """Bars of rows (date, cells), the cells paired with their ticker and field by position.
+
+    One expression for each field walks over the tickers, so the plan is the same for ten tickers
+    and for thousands; one explode turns a row into one row per ticker, and nothing is shuffled.
+    """
+    tickers, places = _header(names, separator)
+
+    def constant(values: list, kind: str) -> Column:
+        # One literal, whatever its length.
+        return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+    def cell(measure: str, i: Column) -> Column:
+        place = F.get(constant(places[measure], "int"), i)
+        return F.when(place >= 0, F.get("cells", place)).alias(measure)
+
+    per_ticker = F.transform(constant(tickers, "string"), lambda ticker, i: F.struct(
+        ticker.alias("symbol"), *[cell(m, i) for m in places]))
+    long = rows.select("date", F.inline(per_ticker))
+    anything = F.coalesce(*[F.col(m) for m in places]).isNotNull()
+    return long.filter(anything)
+
+
+def long_bars(wide: DataFrame, date: str = "Date", separator: str = "|") -> DataFrame:
+    """A wide multi-ticker table (columns 'TICKER|Field') as long bars."""
+    names = [n for n in wide.columns if separator in n]
+    cells = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
+    return _paired(wide.select(F.col(date).cast("date").alias("date"), cells.alias("cells")),
+                   names, separator)
+
+
+def read_wide_response(spark: SparkSession, path: str, date: str = "Date",
+                       separator: str = "|") -> DataFrame:
+    """A wide multi-ticker response as it comes (CSV lines under one header) as long bars.
+
+    Lines are cut into cells, so not even the schema grows with the tickers. Every file repeats the
+    header. Cells are numbers or empty; anything else in them counts as missing.
+    """
+    lines = spark.read.text(path).select(F.rtrim("value", F.lit("\r\n ")).alias("line"))
+    header = lines.filter(F.col("line").startswith(date) | F.col("line").startswith(f'"{date}"')).first()
+    if header is None:
+        raise ValueError(f"the response has no header with {date}")
+    names = next(csv.reader([header["line"]]))
+    cells = F.split("line", ",", -1)
+    rows = lines.filter((F.col("line") != header["line"]) & (F.col("line") != "")).select(
+        F.to_date(F.substring(F.trim(F.get(cells, F.lit(names.index(date))), F.lit('"')), 1, 10))
+        .alias("date"),
+        F.transform(cells, lambda x: F.trim(x, F.lit('"')).try_cast("double")).alias("cells"))
+    return _paired(rows, names, separator)
 
 
 def enriched_research(research: DataFrame, constituents: DataFrame) -> DataFrame:

@@ -193,6 +193,17 @@ def test_bucketed_bars_are_not_shuffled_again(spark, market):
         assert "Exchange hashpartitioning(symbol" not in plan_of(job)
 
 
+def test_breadth_history_brings_symbols_together_once(spark, market):
+    from breadthline.operators import aggregates
+
+    bars, _, _ = market
+    plan = plan_of(aggregates.breadth_history(indicators.trend_frame(bars)))
+    # The scalar with the number of symbols is a second reading of the same trend rows.
+    assert plan.count("Exchange hashpartitioning(symbol") <= 2
+    trends = land(indicators.trend_frame(bars), "trends")
+    assert "Exchange hashpartitioning(symbol" not in plan_of(aggregates.breadth_history(trends))
+
+
 def test_score_never_sorts_all_symbols_in_one_task(spark):
     from breadthline.operators.ranking import rs_score
 

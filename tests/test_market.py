@@ -53,6 +53,7 @@ def test_breadth_history(spark):
     ])
     frame["ma_10w"] = np.nan
     frame["date"] = frame["date"].dt.date
+    frame["recency"] = [4, 3, 2, 1] * 2
     trends = spark.createDataFrame(frame).withColumn("ma_10w", F.lit(None).cast("double"))
     rows = agg.breadth_history(trends).orderBy("date").collect()
     assert [r["above_ma_30w"] for r in rows] == [1, 1, 1, 2]

@@ -108,6 +108,51 @@ def test_wide_response(spark):
         readers.long_bars(wide.select("Date"))
 
 
+def response(folder, tickers: int, sessions: int = 3) -> str:
+    """Two files of wide lines, each under the header; some cells empty or no numbers."""
+    folder.mkdir()
+    names = [f"T{i}.NS|{f}" for i in range(tickers) for f in ("Close", "Volume", "High")]
+    for part in range(2):
+        lines = [",".join(["Date", *names])]
+        for d in range(sessions):
+            cells = ["" if (i + d) % 5 == 0 else "n/a" if (i + d) % 7 == 0 else f"{i}.{d}"
+                     for i in range(len(names))]
+            lines.append(",".join([f"2026-0{part + 1}-0{d + 1} 00:00:00", *cells]))
+        (folder / f"{part}.csv").write_text("\r\n".join(lines) + "\r\n\r\n")
+    return str(folder)
+
+
+def test_wide_response_files(spark, tmp_path):
+    path = response(tmp_path / "some", 11)
+    got = {(r["symbol"], str(r["date"])): (r["close"], r["volume"], r["high"])
+           for r in readers.read_wide_response(spark, path).collect()}
+    want = {}
+    for part in range(2):
+        for d in range(3):
+            for t in range(11):
+                cells = [None if (i + d) % 5 == 0 or (i + d) % 7 == 0 else float(f"{i}.{d}")
+                         for i in range(3 * t, 3 * t + 3)]
+                if any(x is not None for x in cells):
+                    want[f"T{t}.NS", f"2026-0{part + 1}-0{d + 1}"] = tuple(cells)
+    assert got == want
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.csv").write_text("Close\n1\n")
+    with pytest.raises(ValueError, match="header"):
+        readers.read_wide_response(spark, str(tmp_path / "none"))
+
+
+def test_the_plan_of_a_wide_response_does_not_grow(spark, tmp_path):
+    """The same number of expressions for ten and two thousand tickers, and no shuffle."""
+    sizes = []
+    for tickers in (10, 2000):
+        rows = readers.read_wide_response(spark, response(tmp_path / f"t{tickers}", tickers))
+        plan = rows._jdf.queryExecution().analyzed().toString()
+        sizes.append((plan.count("get("), plan.count("cast("), plan.count("#"), plan.count("CASE")))
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.select("symbol").distinct().count() == tickers
+    assert sizes[0] == sizes[1]
+
+
 def test_panel(spark, tmp_path):
     bars = bars_of(spark, pd.concat([walk("A", 1, 100), walk("B", 2, 100, blanks=.2),
                                      walk("ONE", 3, 1)]))

@@ -42,7 +42,7 @@ def _(i):
     "audit_excluded", "symbol, reason", "settled",
     f"""WITH {o.bars('settled')}, doubled AS (
       SELECT symbol, date FROM bars UNION ALL
-      SELECT symbol, date FROM bars WHERE symbol LIKE 'U%' AND day(date) = 1),
+      SELECT symbol, date FROM bars WHERE symbol LIKE 'NATION_1%' AND day(date) = 1),
     bad AS (SELECT DISTINCT symbol FROM (
       SELECT symbol FROM doubled GROUP BY symbol, date HAVING count(*) > 1)),
     clean AS (SELECT * FROM bars WHERE symbol NOT IN (SELECT symbol FROM bad)),
@@ -59,7 +59,7 @@ def _(i):
       WHERE k.d IS NULL OR k.d <> (SELECT b FROM bnd))""")
 def _(i):
     bars, names = i.landed_bars(), i.universe()
-    doubled = bars.unionByName(bars.where("symbol LIKE 'U%' AND day(date) = 1"))
+    doubled = bars.unionByName(bars.where("symbol LIKE 'NATION_1%' AND day(date) = 1"))
     clean, rejected = audit.admitted(doubled, names)
     day = b.information_boundary(clean, names.count(), DECISION, i.variant.min_pct)
     return b.unavailable(names.withColumnRenamed("Symbol", "symbol"), clean, day, rejected)
@@ -110,9 +110,23 @@ def _(i):
           f"""{NATION_TWO}, {JOINED}, result AS (
             SELECT "Symbol", "RS_Score", p_rs AS "RS_Previous", "RS_Score" - p_rs AS "RS_Change" FROM j
             WHERE "RS_Score" IS NOT NULL AND p_rs IS NOT NULL
-            ORDER BY abs("RS_Score" - p_rs) DESC, "Symbol" LIMIT 5)""")
+            ORDER BY abs("RS_Score" - p_rs) DESC, "Symbol" LIMIT 15)""")
 def _(i):
-    return movers.rs_movers(*_pair(i), count=5)
+    return movers.rs_movers(*_pair(i))
+
+
+@register("transition_pages", "group, inline, symbols:i, first_symbol, last_symbol", "supplier",
+          f"""{TWO}, {JOINED}, {MOVES}, placed AS (
+            SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY "Symbol") <= 25 AS inline
+            FROM moves),
+          result AS (
+            SELECT "group", inline, count(*) AS symbols, min("Symbol") AS first_symbol,
+              max("Symbol") AS last_symbol FROM placed GROUP BY 1, 2)""")
+def _(i):
+    paged = movers.shown_first(land(movers.transitions(*_pair(i)), "moves"))
+    return paged.groupBy("group", F.col("Inline").alias("inline")).agg(
+        F.count(F.lit(1)).alias("symbols"), F.min("Symbol").alias("first_symbol"),
+        F.max("Symbol").alias("last_symbol"))
 
 
 # --- corporate actions -----------------------------------------------------------------

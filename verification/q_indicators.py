@@ -76,14 +76,12 @@ from_snapshot("action", "Symbol, Stage, RS_Score:f, U_D:f, Action", "supplier",
 @register(
     "rs_score", "Symbol, Industry, RS_Blend:f, RS_Score:f", "nation",
     f"""{o.snapshot('nation')}, result AS (
-      SELECT * FROM research ORDER BY "RS_Score" DESC NULLS LAST, "Symbol" LIMIT 25)""")
+      SELECT * FROM research)""")
 def _(i):
     rows = i.landed_bars()
     blends = plans.measured_rows(rows, i.boundary()).select("Symbol", "RS_Blend")
     scored = ranking.rs_score(plans.land(blends, "blends"))
-    return ranking.top(
-        plans.with_universe(scored, i.universe()), 25, F.desc_nulls_last("RS_Score")
-    )
+    return plans.with_universe(scored, i.universe())
 
 
 @register(

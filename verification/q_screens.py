@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breadthline import config as c
@@ -250,6 +253,31 @@ def _(i):
     return agg.industry_leadership(plans.land(full(i), "snapshot"))
 
 
+BOARD = """board AS (
+      SELECT coalesce("Industry", 'Unclassified') AS "Industry", count(*) AS "Stocks",
+        median("RS_Score") AS "Median_RS", median("R3M") AS "Median_R3M",
+        100.0 * count(*) FILTER (WHERE "Above_MA_30W") / nullif(count(sk), 0) AS "Participation_Pct"
+      FROM research GROUP BY 1)"""
+ORDERS = " UNION ALL ".join(
+    f"""SELECT '{sort}' AS sort, row_number() OVER (ORDER BY "{column}"
+      {'ASC' if up else 'DESC'} NULLS LAST, "Industry") AS place, "Industry" FROM board"""
+    for sort, (column, up) in c.INDUSTRY_SORTS.items())
+
+
+@register("industry_sorts", "sort, place:i, Industry", "supplier", f"{S}, {BOARD}, result AS ({ORDERS})")
+def _(i):
+    board = plans.land(agg.industry_leadership(plans.land(full(i), "snapshot")), "board")
+    # Ids grow in the order of the sorted rows; the board has a row for each industry.
+    in_order = Window.partitionBy("sort").orderBy("at")
+    placed = [
+        screens.industries(board, sort).select(
+            F.lit(sort).alias("sort"), "Industry", F.monotonically_increasing_id().alias("at"))
+        for sort in c.INDUSTRY_SORTS
+    ]
+    return reduce(DataFrame.unionByName, [plans.land(p, "sorted") for p in placed]).withColumn(
+        "place", F.row_number().over(in_order))
+
+
 @register(
     "exact_median_price", "day:d, median_price:f", "nation",
     """WITH result AS (SELECT CAST(l_shipdate AS DATE) AS day,
