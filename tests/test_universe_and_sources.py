@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,31 @@ def test_wide_response(spark):
         readers.long_bars(wide.select("Date"))
 
 
+def test_parts_meet_the_table_of_symbols_not_the_lines(spark):
+    """With nine tenths of the lines in one symbol: the same bars, merged on both sides of the join."""
+    rng = np.random.default_rng(2)
+    keys = np.where(rng.random(4000) < 0.9, rng.integers(0, 3, 4000), rng.integers(3, 40, 4000))
+    lines = spark.createDataFrame(pd.DataFrame({
+        "k": keys, "d": pd.to_datetime("2026-01-01") + pd.to_timedelta(rng.integers(0, 9, 4000), "D"),
+        "v": rng.integers(1, 9000, 4000) / 4.0, "q": rng.integers(0, 50, 4000).astype(float)}))
+    names = spark.createDataFrame([(k, "HOT" if k < 3 else f"S{k % 5}") for k in range(40)],
+                                  "id long, name string")
+    arguments = (F.col("d"), F.col("v"), F.col("q"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = trades.trade_parts(lines, F.col("k"), *arguments)
+        bars = trades.bars_from_parts(parts.join(names, F.col("key") == F.col("id")), F.col("name"))
+        plan = bars._jdf.queryExecution().executedPlan().toString()
+        joined = plan[plan.index("SortMergeJoin"):]
+        assert "HashAggregate(keys=[key" in joined and "partial_sum" in joined
+        assert "partial_sum" in plan[:plan.index("SortMergeJoin")]
+        whole = trades.bars_from_trades(
+            lines.join(names, F.col("k") == F.col("id")), F.col("name"), *arguments)
+        assert sorted(map(tuple, bars.collect())) == sorted(map(tuple, whole.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def response(folder, tickers: int, sessions: int = 3) -> str:
     """Two files of wide lines, each under the header; some cells empty or no numbers."""
     folder.mkdir()

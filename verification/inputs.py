@@ -1,9 +1,10 @@
-"""Bars, benchmark and universe out of the given tables, in three variants.
+"""Bars, benchmark and universe out of the given tables, in four variants.
 
     nation    one symbol per nation, industry = region
     settled   the same, but only settled lines (status F) set the close, so that
               sessions without a close occur inside a history
     supplier  one symbol per supplier, industry = nation
+    shaped    one symbol per shape of `shaped.SHAPES`, so that every rule has its case
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from breadthline.operators import boundary
 from breadthline.session import land, land_by_symbol
 from breadthline.sources import trades
+from verification import shaped
 
 DECISION = dt.date(1999, 1, 4)
 
@@ -33,6 +35,7 @@ VARIANTS = {
     "nation": Variant("nation", 50.0, 200),
     "settled": Variant("settled", 25.0, 200, settled=True),
     "supplier": Variant("supplier", 15.0, 20),
+    "shaped": Variant("shaped", 60.0, 200),
 }
 
 
@@ -64,12 +67,19 @@ class Inputs:
             self.suppliers(), F.col("l_suppkey") == F.col("s_suppkey")
         )
 
+    def bars_of(self, symbol: str, **conditions) -> DataFrame:
+        """Lines are merged by supplier and session before the suppliers are joined to them."""
+        parts = trades.trade_parts(
+            self.table("lineitem"), F.col("l_suppkey"), F.col("l_shipdate"),
+            F.col("l_extendedprice"), F.col("l_quantity"), **conditions)
+        joined = parts.join(self.suppliers(), F.col("key") == F.col("s_suppkey"))
+        return trades.bars_from_parts(joined, F.col(symbol))
+
     def bars(self) -> DataFrame:
-        return trades.bars_from_trades(
-            self.lines(), F.col(self._symbol()), F.col("l_shipdate"),
-            F.col("l_extendedprice"), F.col("l_quantity"),
-            counts_for_close=F.col("l_linestatus") == "F" if self.variant.settled else None,
-        )
+        if self.variant.name == "shaped":
+            return shaped.bars(self.table("lineitem"))
+        settled = F.col("l_linestatus") == "F" if self.variant.settled else None
+        return self.bars_of(self._symbol(), counts_for_close=settled)
 
     def landed_bars(self, by_symbol: bool = False) -> DataFrame:
         """The bars as a written table, for queries that read them more than once.
@@ -83,13 +93,11 @@ class Inputs:
 
     def thinly_traded_bars(self) -> DataFrame:
         """Volumes from lines that were not returned only: some sessions trade nothing."""
-        return trades.bars_from_trades(
-            self.lines(), F.col(self._symbol()), F.col("l_shipdate"),
-            F.col("l_extendedprice"), F.col("l_quantity"),
-            counts_for_volume=F.col("l_returnflag") != "R",
-        )
+        return self.bars_of(self._symbol(), counts_for_volume=F.col("l_returnflag") != "R")
 
     def benchmark(self) -> DataFrame:
+        if self.variant.name == "shaped":
+            return shaped.benchmark(self.table("lineitem"))
         return trades.index_from_trades(
             self.table("lineitem"), F.col("l_shipdate"),
             F.col("l_extendedprice"), F.col("l_quantity"),
@@ -102,6 +110,8 @@ class Inputs:
         return self._benchmark
 
     def universe(self) -> DataFrame:
+        if self.variant.name == "shaped":
+            return shaped.universe(self.spark)
         rows = self.suppliers()
         if self.variant.name == "supplier":
             return rows.select(

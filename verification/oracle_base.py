@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from verification import shaped
 from verification.inputs import DECISION, VARIANTS
 
 D = f"DATE '{DECISION.isoformat()}'"
@@ -30,6 +31,8 @@ universe AS (
 
 
 def bars(variant: str = "nation", volume: str = "true") -> str:
+    if variant == "shaped":
+        return shaped.sql()
     close = "FILTER (WHERE settled)" if VARIANTS[variant].settled else ""
     return f"""{lines(variant)},
 bars AS (
@@ -44,6 +47,10 @@ bench AS (
   FROM lineitem GROUP BY 1)"""
 
 
+def bench(variant: str) -> str:
+    return shaped.bench_sql() if variant == "shaped" else BENCH
+
+
 def boundary(variant: str, name: str = "bnd", decision: str = D) -> str:
     pct = VARIANTS[variant].min_pct
     return f"""
@@ -255,7 +262,7 @@ def research(variant: str, p: str = "", bnd: str = "bnd", min_sessions: int | No
 
 
 def snapshot(variant: str, min_sessions: int | None = None) -> str:
-    return (f"WITH {bars(variant)}, {BENCH}, {boundary(variant)}, "
+    return (f"WITH {bars(variant)}, {bench(variant)}, {boundary(variant)}, "
             f"{research(variant, min_sessions=min_sessions)}")
 
 

@@ -339,10 +339,7 @@ def _(i):
 def _(i):
     from breadthline.sources.readers import long_bars
 
-    bars = trades.bars_from_trades(
-        i.lines(), F.col("r_name"), F.col("l_shipdate"), F.col("l_extendedprice"),
-        F.col("l_quantity"),
-    )
+    bars = i.bars_of("r_name")
     regions = [r[0] for r in i.table("region").select("r_name").collect()]  # 5 rows by definition
     wide = bars.groupBy(F.col("date").alias("Date")).pivot("symbol", regions).agg(
         F.first("close").alias("Close"), F.first("volume").alias("Volume")
