@@ -12,7 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breadthline import config as c
-from breadthline.operators import aggregates, boundary, corporate, indicators, record, reconcile
+from breadthline.operators import (
+    aggregates,
+    boundary,
+    corporate,
+    guards,
+    indicators,
+    reconcile,
+    record,
+)
 from breadthline.plans.research import research
 from breadthline.session import land, land_by_symbol
 from breadthline.sources import panel, sinks
@@ -84,7 +92,8 @@ def run_audit(
     names = universe.withColumnRenamed("Symbol", "symbol")
     missing = land(boundary.unavailable(names, bars, day, rejected), "excluded")
     excluded = missing.count()
-    boundary.enforce_coverage(excluded, size, max_loss_pct)
+    if refused := guards.refusals(guards.lost_symbols(names, missing, max_loss_pct)):
+        raise boundary.CoverageError(refused[0])
 
     current = land(research(bars, universe, day, benchmark, min_sessions), "research")
     before, previous = previous_snapshot(
@@ -103,8 +112,17 @@ def run_audit(
     if complaints:
         raise AuditError("reconciliation failures:\n" + "\n".join(complaints[:100]))
 
-    published = current.count()
-    events = corporate.report(inside, day, published, threshold)
+    events = land(corporate.report(inside, day, 0, threshold, guard=False), "events")
+    checked = land(guards.table(
+        guards.closed_sessions(boundary.session_trading(bars)),
+        guards.lost_symbols(names, missing, max_loss_pct), guards.absent_symbols(names, bars),
+        guards.newest_jumps(events, day, current), guards.other_sessions(current, day),
+        guards.backwards(spark, day, floor)), "guards")
+    # Symbols without bars are reported; only their share of the universe refuses the run.
+    refused = guards.refusals(checked.filter(F.col("guard") != guards.ABSENT))
+    if refused:
+        kind = corporate.MassEventError if refused[0].startswith(guards.JUMPS) else AuditError
+        raise kind("the run must not publish: " + "; ".join(refused))
     current = corporate.flag_rows(current, events)
     history = aggregates.breadth_history(trends, c.BREADTH_SESSIONS)
     if benchmark is not None:
@@ -114,10 +132,11 @@ def run_audit(
     run = sinks.Publication(spark, folder)
     run.write(current, "research")
     run.write(missing, "excluded")
+    run.write(checked, "guards")
     run.write(events, "corporate_actions")
     if previous is not None:
         run.write(
-            corporate.flag_rows(previous, corporate.report(inside, before, published, threshold)),
+            corporate.flag_rows(previous, corporate.report(inside, before, current.count(), threshold)),
             "previous",
         )
     else:

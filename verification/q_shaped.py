@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from breadthline.operators import boundary as b
-from breadthline.operators import corporate
+from breadthline.operators import corporate, guards
 from breadthline.plans import audit
+from breadthline.session import land
 from verification import oracle_base as o
 from verification.inputs import DECISION
 from verification.q_changes import events
-from verification.q_indicators import measured
+from verification.q_indicators import full, measured
 from verification.registry import QUERIES, register
 
 #: Queries over a snapshot whose data seldom or never takes the branches they show.
@@ -87,3 +88,48 @@ def _(i):
     """Threshold and guard as the job has them."""
     found = corporate.report(i.landed_bars(), i.boundary(), i.universe().count())
     return corporate.flag_rows(measured(i), found)
+
+
+def guard_sql(variant: str) -> str:
+    """The guards from their definitions, at the thresholds of the job (0.35, 2 %, 15 %)."""
+    return f"""{o.snapshot(variant)}, sessions AS (
+      SELECT count(volume) >= 20 AND count(*) FILTER (WHERE volume > 0) / count(volume) < 0.05 AS closed
+      FROM bars WHERE volume IS NOT NULL GROUP BY date),
+    ratios AS (
+      SELECT symbol, date, abs(close / lag(close) OVER w - 1) AS move, close / lag(close) OVER w AS ratio
+      FROM bars WHERE close IS NOT NULL AND date <= (SELECT b FROM bnd)
+      WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    counted AS (
+      SELECT 'closed sessions' AS guard, count(*) FILTER (WHERE closed) AS count, count(*) AS total,
+        floor(count(*) * 0.15) AS ceiling, count(*) >= 60 AS judged FROM sessions UNION ALL
+      SELECT 'symbols without a usable history',
+        count(*) FILTER (WHERE "Symbol" NOT IN (SELECT "Symbol" FROM research)), count(*),
+        floor(count(*) * 0.02), true FROM universe UNION ALL
+      SELECT 'symbols without any history',
+        count(*) FILTER (WHERE "Symbol" NOT IN (SELECT symbol FROM bars)), count(*), 0, true
+      FROM universe UNION ALL
+      SELECT 'jumps in the newest session',
+        (SELECT count(*) FROM ratios WHERE move > 0.35 AND ratio > 0 AND date = (SELECT b FROM bnd)),
+        count(*), greatest(8, ceil(count(*) * 0.02)) - 1, true FROM research UNION ALL
+      SELECT 'rows of another session', count(*) FILTER (WHERE "Date" <> (SELECT b FROM bnd)),
+        count("Date"), 0, true FROM research),
+    result AS (SELECT guard, count, total, ceiling, judged AND count > ceiling AS refuse FROM counted)"""
+
+
+GUARDS = "guard, count:i, total:i, ceiling:i, refuse"
+
+
+def all_guards(i):
+    bars, day = i.landed_bars(), i.boundary()
+    names = i.universe().withColumnRenamed("Symbol", "symbol")
+    rows = land(full(i), "snapshot")
+    return guards.table(
+        guards.closed_sessions(b.session_trading(bars)),
+        guards.lost_symbols(names, b.unavailable(names, bars, day)),
+        guards.absent_symbols(names, bars),
+        guards.newest_jumps(corporate.scan(b.rows_until(bars, day)), day, rows),
+        guards.other_sessions(rows, day))
+
+
+for _variant in ("shaped", "nation", "supplier"):
+    register(f"guards_{_variant}", GUARDS, _variant, guard_sql(_variant))(all_guards)
