@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,16 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Many small objects without cycles come and go: looking for cycles would only take time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """The rows of a batch in runs of about PIECE_CHARS characters, with their texts (null: empty)."""
     texts = [text or "" for text in batch.column(column).to_pylist()]

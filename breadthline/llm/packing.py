@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from breadthline.llm import pretokens
-from breadthline.llm.common import pieces, whole_text
+from breadthline.llm.common import no_collection, pieces, whole_text
 from breadthline.session import land
 
 PIECES = (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"),
@@ -90,9 +90,10 @@ def cut(docs: DataFrame, capacity: int, path: str) -> DataFrame:
         for batch in batches:
             for part, texts in pieces(batch):
                 columns: list[list] = [[] for _ in PIECES]
+                with no_collection():
+                    encoded = encode(texts, path)
                 for doc_id, number, data in zip(part.column("doc_id").to_pylist(),
-                                                part.column("part").to_pylist(),
-                                                encode(texts, path)):
+                                                part.column("part").to_pylist(), encoded):
                     total = len(data) // 4
                     first = (total - 1) % capacity + 1
                     starts = [0, *range(first, total, capacity)]

@@ -24,13 +24,11 @@ left out, an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from breadthline.llm.common import partitions, whole_text
+from breadthline.llm.common import no_collection, partitions, whole_text
 from breadthline.llm.eliasfano import EliasFano
 from breadthline.session import land, shared_folder
 
@@ -73,16 +71,6 @@ PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-@contextmanager
-def no_collection() -> Iterator[None]:
-    """Many small objects without cycles come and go: looking for cycles would only take time."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-
-
 class Encoder:
     """The library's ids of texts, end id last; keeps those of stretches it has seen."""
 
