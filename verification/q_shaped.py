@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import datetime as dt
 
 from breadthline.operators import boundary as b
 from breadthline.operators import corporate, guards
@@ -112,7 +112,8 @@ def guard_sql(variant: str) -> str:
         (SELECT count(*) FROM ratios WHERE move > 0.35 AND ratio > 0 AND date = (SELECT b FROM bnd)),
         count(*), greatest(8, ceil(count(*) * 0.02)) - 1, true FROM research UNION ALL
       SELECT 'rows of another session', count(*) FILTER (WHERE "Date" <> (SELECT b FROM bnd)),
-        count("Date"), 0, true FROM research),
+        count("Date"), 0, true FROM research UNION ALL
+      SELECT 'later session published', 0, 1, 0, true),
     result AS (SELECT guard, count, total, ceiling, judged AND count > ceiling AS refuse FROM counted)"""
 
 
@@ -128,7 +129,8 @@ def all_guards(i):
         guards.lost_symbols(names, b.unavailable(names, bars, day)),
         guards.absent_symbols(names, bars),
         guards.newest_jumps(corporate.scan(b.rows_until(bars, day)), day, rows),
-        guards.other_sessions(rows, day))
+        guards.other_sessions(rows, day),
+        guards.backwards(i.spark, day, day - dt.timedelta(days=1)))
 
 
 for _variant in ("shaped", "nation", "supplier"):
