@@ -164,13 +164,13 @@ ARCHIVE_REQUIRED = (
     "Trend_Template_Pass", "Breakout_Confirmed",
 )
 ARCHIVE_EXCLUDED = ("Company Name", "Industry", "Series")
-# The registered cohorts and the rule each one states.
+# The names of the cohorts. What each asks for is told to the fingerprint of a grade.
 COHORTS = {
-    "universe": "every published row (the control)",
-    "buy_star": "Action == 'BUY★'",
-    "stage2_rs80": "Stage starts with 'Stage 2' and RS_Score >= 80",
-    "trend_template": "Trend_Template_Pass is true",
-    "breakout_confirmed": "Breakout_Confirmed is true",
+    "universe": "all rows of the snapshot",
+    "buy_star": "rows whose label is the confirmed buy",
+    "stage2_rs80": "advancing rows with a score of eighty or more",
+    "trend_template": "rows that pass all eight criteria",
+    "breakout_confirmed": "rows with the confirmed breakout flag",
 }
 RECORD_KEY = ("snapshot_date", "horizon_weeks", "cohort")
 
