@@ -408,7 +408,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, reca
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, recall: float = 0.95,
                         shortest: int = 48, block: int = 4_096) -> DataFrame:
-    """Pipeline stage: documents that hold no benchmark item, as they came."""
+    """A step of the corpus job: documents that hold no benchmark item, as they came."""
 
     def without(items: Items, walks: Walks):
         def work(texts: list[str]) -> list[bool]:

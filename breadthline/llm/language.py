@@ -168,7 +168,7 @@ def language(docs: DataFrame, per_language: int = 400) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, per_language: int = 400) -> DataFrame:
-    """Pipeline stage: rows whose language can be told, with the columns they came with.
+    """A step of the corpus job: rows whose language can be told, with the columns they came with.
 
     Rejected are null texts, texts without a letter, and texts that share no n-gram with any
     language (score 0). Profiles are learned from these rows' own `lang`, held-out rows excepted.

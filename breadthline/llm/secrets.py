@@ -234,7 +234,7 @@ def secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """Pipeline stage: all rows, with the secrets in their texts replaced by a mark."""
+    """A step of the corpus job: all rows, with the secrets in their texts replaced by a mark."""
     found = scan(docs, trained_on(docs)).where(F.col("score") >= threshold)
     # The longest first, so that a secret inside another leaves nothing behind.
     hidden = found.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set(
