@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from breadthline.llm.common import keep_rows, no_collection, pieces
+from breadthline.llm.common import keep_rows, pieces
 
 STEPS = 64  # length of the sampled part of the walk; it reads about half as many characters
 SAMPLE = 14  # more of them cost runs, fewer cost exact comparisons
@@ -389,9 +389,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, reca
             for batch in batches:
                 for part, texts in pieces(batch):
                     ids = part.column("doc_id").to_pylist()
-                    with no_collection():
-                        found = [(ids[t], items.ids[i], *rest)
-                                 for t, i, *rest in search(texts, items, walks, most)]
+                    found = [(ids[t], items.ids[i], *rest)
+                             for t, i, *rest in search(texts, items, walks, most)]
                     columns = zip(*found) if found else [()] * len(RESULT)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=KINDS[k]) for c, (_, k) in zip(columns, RESULT)],
@@ -413,9 +412,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, most: float = 0.2
     def without(items: Items, walks: Walks):
         def work(texts: list[str]) -> list[bool]:
             clean = [True] * len(texts)
-            with no_collection():
-                for text, *_ in search(texts, items, walks, most):
-                    clean[text] = False
+            for text, *_ in search(texts, items, walks, most):
+                clean[text] = False
             return clean
 
         return lambda: work
