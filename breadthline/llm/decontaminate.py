@@ -128,7 +128,8 @@ class Walks:
             pointer = anchors[start:start + chunk].astype(np.int64)
             key = np.zeros(len(pointer), dtype=np.uint64)
             for table in self.tables[run]:
-                step = table.take(signs.take(pointer))
+                # All places are inside; saying so spares a check of each.
+                step = table.take(signs.take(pointer, mode="clip"), mode="clip")
                 pointer += step & 3
                 if table[-1] > 3:
                     key *= np.uint64(0x9E3779B97F4A7C15)
