@@ -16,70 +16,87 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from breadthline.llm import pretokens
 from breadthline.llm.common import no_collection, pieces, whole_text
+from breadthline.llm.words import Kept, ids_of_texts
 from breadthline.session import land
 
 PIECES = (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"),
           ("ids_crc32", "long"), ("part", "int"), ("nth", "long"))
 SIZES = {"int": pa.int32(), "long": pa.int64()}
 
-#: Ids that this Python worker has, by tokenizer file.
-_KEPT: dict[str, pretokens.Kept] = {}
+#: A text with a gap that is not one blank or one line feed, or with none of its own signs.
+ODD_GAPS = (r"^[ \n]|[ \n][ \n]|[ \n]$|^$|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
+#: Ids of the pre-tokens that this Python worker has met, by tokenizer file.
+_KEPT: dict[str, Kept] = {}
 
-def _encoder(path: str) -> pretokens.Kept:
+
+def _encoder(path: str) -> Kept:
     if path not in _KEPT:
         vocab = pretokens.vocabulary(path)
 
-        def compute(found: list[str]) -> list[bytes]:
-            parts = [pretokens.parts_of(key) for key in found]
-            wanted = list(set().union(*parts))
+        def compute(wanted: list[str]) -> list[bytes]:
             symbols, left = pretokens.merge_all(vocab, [p.encode() for p in wanted])
             data = symbols.astype("<u4").tobytes()
             ends = (4 * np.cumsum(left)).tolist()
-            ids = {p: data[a:b] for p, a, b in zip(wanted, [0, *ends], ends)}
-            return [b"".join(map(ids.__getitem__, some)) for some in parts]
+            return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-        _KEPT[path] = pretokens.Kept(compute)
+        _KEPT[path] = Kept(compute)
     return _KEPT[path]
 
 
 def encode(texts: list[str], path: str, end: int = 0) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, the end token last."""
-    vocab = pretokens.vocabulary(path)
-    special = vocab.special_pattern()
-    split: dict[int, tuple[list[list[str]], list[str]]] = {}
-    lists = []
-    for i, text in enumerate(texts):
-        if special and special.search(text):
-            parts = [pretokens.keys_of(part) for part in special.split(text)]
-            split[i] = parts, special.findall(text)
-            lists.append([key for part in parts for key in part])
-        else:
-            lists.append(pretokens.keys_of(text))
-    known = _encoder(path).of(lists)
+    """Little-endian unsigned 32-bit ids of each text, the end token last.
+
+    Where every gap is one blank or one line feed, texts are cut before each blank and around each
+    line feed, which no pre-token crosses; others, and those with special strings, are cut into
+    their pre-tokens as a whole.
+    """
+    vocab, kept = pretokens.vocabulary(path), _encoder(path)
     last = end.to_bytes(4, "little")
+
+    def stretches(wanted: list[str]) -> list[bytes]:
+        return kept.of_lists([pretokens.SPLITTER.findall(s) for s in wanted])
+
+    column = pa.array(texts, pa.large_string())
+    odd = pc.match_substring_regex(column, ODD_GAPS)
+    for sign in vocab.special:
+        odd = pc.or_(odd, pc.match_substring(column, sign))
+    # "\r" stands where a text is cut; texts that have one of their own are odd.
+    plain = pc.replace_substring(column.filter(pc.invert(odd)), "\n", "\r\n\r")
+    cuts = pc.split_pattern(pc.replace_substring(plain, " ", "\r "), "\r")
+    data, ends = ids_of_texts(cuts, kept.of, stretches)
+    data, ends = memoryview(data), ends.tolist()
+    found = [bytes(data[a:b]) + last for a, b in zip([0, *ends], ends)]
+    at = odd.to_pylist()
+    rest = _whole([t for t, is_odd in zip(texts, at) if is_odd], vocab, stretches)
+    plain_ids, whole = iter(found), iter(rest)
+    return [next(whole) + last if is_odd else next(plain_ids) for is_odd in at]
+
+
+def _whole(texts: list[str], vocab: pretokens.Vocabulary,
+           stretches: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Ids of texts of any kind."""
+    special = vocab.special_pattern()
+    cuts = [special.split(t) if special else [t] for t in texts]
+    signs = [special.findall(t) if special else [] for t in texts]
+    ids = iter(stretches([part for some in cuts for part in some]))
     found = []
-    for i, some in enumerate(lists):
-        if i not in split:
-            found.append(b"".join(map(known.__getitem__, some)) + last)
-            continue
-        parts, signs = split[i]
-        data = b"".join(map(known.__getitem__, parts[0]))
-        for sign, part in zip(signs, parts[1:]):
-            data += vocab.special[sign].to_bytes(4, "little")
-            data += b"".join(map(known.__getitem__, part))
-        found.append(data + last)
+    for some, between in zip(cuts, signs):
+        codes = [vocab.special[s].to_bytes(4, "little") for s in between]
+        found.append(b"".join(next(ids) + code for _, code in zip(some, [*codes, b""])))
     return found
 
 
