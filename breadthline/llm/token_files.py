@@ -13,8 +13,9 @@ position is a rank. Every attempt of a task writes files of its own name. The ta
 written by Spark, which keeps the rows of one attempt of each task; readers follow that table, so
 files of a lost executor are never read. Ids never leave the files as rows.
 
-Texts are cut at blanks and line feeds, which this vocabulary drops, and each distinct stretch goes
-through the tokenizers library once in a batch (a worker keeps what it has seen).
+Texts are cut at blanks and line feeds, which this vocabulary drops, and stretches of Latin letters
+from the signs behind them (`words`); each distinct part goes through the tokenizers library once in a
+batch (a worker keeps what it has seen).
 
 Rows: one per document. Null texts count as empty and are the end id alone. Null ids come first;
 rows that repeat an id lie side by side in the order of their texts' checksums (equal rows in any
@@ -41,6 +42,7 @@ from pyspark.sql import window as W
 
 from breadthline.llm.common import no_collection, partitions, whole_text
 from breadthline.llm.eliasfano import EliasFano
+from breadthline.llm.words import Kept, ids_of_texts
 from breadthline.session import land, shared_folder
 
 MARK = b"TOKENEF1"
@@ -74,12 +76,13 @@ PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 class Encoder:
     """The library's ids of texts, end id last; keeps those of stretches it has seen."""
 
-    def __init__(self, path: str, end: int, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, end: int, limit: int = 500_000) -> None:
         import json
 
         from tokenizers import Tokenizer
 
         self.end, self.limit, self.kept = end, limit, {}
+        self.kept_parts = Kept(lambda words: list(self._cut(words).values()), limit)
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -135,27 +138,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has, the end id included."""
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        coded = words.flatten().dictionary_encode()
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         with no_collection():
-            found = self.stretches(coded.dictionary.to_pylist())
-        data = np.frombuffer(b"".join(found), dtype=self.kind)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        firsts = np.cumsum(sizes) - sizes
-        at = np.asarray(coded.indices)
-        taken = sizes[at]
-        ends = np.cumsum(taken)
-        # Where each id of the texts stands in `data`; a place is left for the end ids.
-        spread = np.repeat((firsts[at] - (ends - taken)), taken)
-        spread += np.arange(len(spread))
-        per_text = np.asarray(pc.list_value_length(words))
-        bounds = np.concatenate([[0], ends])[np.cumsum(per_text)]
-        lengths = np.diff(bounds, prepend=0) + 1
-        ids = np.full(len(spread) + len(texts), self.end, dtype=self.kind)
-        inner = np.ones(len(ids), dtype=bool)
-        inner[np.cumsum(lengths) - 1] = False
-        ids[inner] = data[spread]
-        return ids, lengths
+            data, ends = ids_of_texts(words, self.kept_parts.of, self.stretches, lower=True)
+        ends = ends // self.kind.itemsize
+        ids = np.insert(np.frombuffer(data, dtype=self.kind)[:ends[-1]], ends, self.end)
+        return ids, np.diff(ends, prepend=0) + 1
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

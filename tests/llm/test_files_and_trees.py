@@ -78,6 +78,17 @@ def test_encoder_is_the_library():
         assert got == library_ids(some)
 
 
+def test_words_are_looked_up_without_their_signs(monkeypatch):
+    asked, stretches = [], token_files.Encoder.stretches
+    monkeypatch.setattr(token_files.Encoder, "stretches", lambda self, words: (
+        asked.extend(words), stretches(self, words))[1])
+    encoder = token_files.Encoder(token_files.default_path(), 1)
+    texts = ["The river, Öl; don't", "THE river. öl 5 <x>!"]
+    ids, lengths = encoder.encode(pa.array(texts))
+    assert [ids[:lengths[0]].tolist(), ids[lengths[0]:].tolist()] == library_ids(texts)
+    assert set(asked) == {"don't", "5", "<x>!"}
+
+
 def plain_rows(rows):
     """(doc_id, start, n_tokens, crc32) by one walk in the order of (id, checksum of the text)."""
     start, found = 0, []
