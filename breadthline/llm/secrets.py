@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breadthline.llm.common import split_of
+from breadthline.session import land
 
 NAMES = "token|secret|passw|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|credential|auth"
 RUN = "[A-Za-z0-9+/_=-]"
@@ -137,14 +138,25 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
         "doc_id", "place", "before", "candidate", "after", "path")
 
 
+def lowest_hashes(docs: DataFrame, limit: int) -> DataFrame:
+    """Rows to learn from whose id's hash is no higher than that of the row numbered `limit`.
+
+    The bound is found on the hashes alone, so no texts of other rows are sorted or moved.
+    """
+    usable = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+                        & (split_of(F.col("doc_id"), 5) != 0))
+    hashed = F.xxhash64("doc_id")
+    lowest = usable.select(hashed.alias("h")).orderBy("h").limit(limit)
+    return usable.where(hashed <= lowest.agg(F.max("h")).scalar())
+
+
 def examples(docs: DataFrame, limit: int = 2_000) -> DataFrame:
     """Labelled findings made of at most `limit` documents (lowest hash of the id first).
 
     Held-out documents (crc32 of the id modulo 5 is 0) give none.
     """
     some = (
-        docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                   & (split_of(F.col("doc_id"), 5) != 0))
+        lowest_hashes(docs, limit)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         .select("doc_id", F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +").alias("w"),
                 F.sha1("text").alias("a"), F.sha2("text", 256).alias("b"),
@@ -219,7 +231,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None,
 
 
 def trained_on(docs: DataFrame, limit: int = 2_000) -> RandomForestClassificationModel | None:
-    labelled = examples(docs, limit)
+    # The forest reads its rows many times; one partition, as they came, keeps its draws the same.
+    labelled = land(examples(docs, limit), "examples").coalesce(1)
     return None if labelled.isEmpty() else train(labelled)
 
 

@@ -94,6 +94,27 @@ def test_ids_are_the_librarys():
     assert got == want
 
 
+def test_any_gap_between_words_is_read_as_the_library_does():
+    blanks = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b"
+    texts = [t for g in blanks for t in (g, f"{g}a", f"a{g}", f"a{g}b", f"a{g}{g}b, c", f"a \n{g}b")]
+    texts += ["", "a b\nÉtÉ, c.\n-- d's 5x ;.", "x<|endoftext|>\ny, <|endoftext|>", "<|endoftext|>",
+              "ªº µ, ﬁ. İ; ß!? a,b a.5 5, ,", "w" * 5000 + ", w"]
+    want = [[*e.ids, 0] for e in library().encode_batch(texts, add_special_tokens=False)]
+    for some in (slice(None), slice(0, 7), slice(7, None)):
+        got = packing.encode(texts[some], pretokens.default_path())
+        assert [np.frombuffer(d, "<u4").tolist() for d in got] == want[some]
+
+
+def test_a_word_is_merged_once_whatever_signs_follow(monkeypatch):
+    merged, merge_all = [], pretokens.merge_all
+    monkeypatch.setattr(packing, "_KEPT", {})
+    monkeypatch.setattr(pretokens, "merge_all", lambda vocab, some: (
+        merged.extend(some), merge_all(vocab, some))[1])
+    for text in ("one quorvex", "one quorvex, quorvex; one", "one quorvex. one quorvex!"):
+        packing.encode([text], pretokens.default_path())
+    assert merged.count(b" quorvex") == 1
+
+
 def test_token_rows(odd, empty):
     found = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit)
              for r in tokens.token_counts(odd).collect()}
@@ -495,6 +516,20 @@ def test_every_shape_of_a_secret_is_hidden(spark):
     assert all(clean[i] == GOOD + str(i) for i in range(60))
 
 
+def test_examples_come_from_the_lowest_hashes_and_move_no_other_text(spark, tmp_path):
+    rows = [(i % 400, f"{'one two three ' * 20}{i}") for i in range(1200)] + [(None, "x"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    order = sorted((r.h, r.doc_id) for r in docs.selectExpr("xxhash64(doc_id) h", "doc_id").where(
+        "doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
+    ).dropDuplicates().collect())
+    lowest = {i for _, i in order[:10]}
+    near = secrets.lowest_hashes(docs, 30)
+    assert {r.doc_id for r in near.collect()} == lowest and near.count() <= 31
+    assert secrets.lowest_hashes(docs, 31).select("doc_id").distinct().count() == 11
+    assert secrets.lowest_hashes(docs.limit(0), 5).count() == 0
+    assert secrets.examples(docs, 30).count() == 30 * 26
+
+
 def test_secret_scan_is_native(spark, odd):
     plan = secrets.secrets(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
