@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from breadthline.llm.common import keep_rows, pieces
+from breadthline.llm.common import freeing, keep_rows, pieces
 
 STEPS = 64  # length of the sampled part of the walk; it reads about half as many characters
 SAMPLE = 14  # more of them cost runs, fewer cost exact comparisons
@@ -397,7 +397,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: float = 0.2, reca
                         [pa.array(c, type=KINDS[k]) for c, (_, k) in zip(columns, RESULT)],
                         names=[n for n, _ in RESULT])
 
-        return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in RESULT))
+        return rows.mapInArrow(freeing(run), ", ".join(f"{n} {k}" for n, k in RESULT))
 
     empty = rows.sparkSession.createDataFrame([], ", ".join(f"{n} {k}" for n, k in RESULT))
     result = None

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from breadthline.llm import pretokens
-from breadthline.llm.common import no_collection, pieces, whole_text
+from breadthline.llm.common import freeing, no_collection, pieces, whole_text
 from breadthline.llm.words import Kept, ids_of_texts
 from breadthline.session import land
 
@@ -128,7 +128,7 @@ def cut(docs: DataFrame, capacity: int, path: str) -> DataFrame:
 
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"),
                        F.spark_partition_id().alias("part"))
-    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in PIECES))
+    return rows.mapInArrow(freeing(run), ", ".join(f"{n} {k}" for n, k in PIECES))
 
 
 @dataclass
@@ -278,5 +278,5 @@ def pack(docs: DataFrame, capacity: int = 2_048, path: str | None = None) -> Dat
                 names=[*kept, "sequence_id", "offset"])
 
     return ranked.select(*kept, "rank").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, "
-             "sequence_id long, offset long")
+        freeing(run), "doc_id long, piece int, start long, length long, ids_crc32 long, "
+                      "sequence_id long, offset long")

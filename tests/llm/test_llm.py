@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from breadthline.llm import (
+    common,
     components,
     decontaminate,
     fingerprint,
@@ -555,3 +556,68 @@ def test_pipeline(spark, tmp_path):
     ids = [*library().encode(hidden, add_special_tokens=False).ids, 0]
     assert [r.ids_crc32 for r in found if r.doc_id == 54] == [
         zlib.crc32(np.array(ids, "<u4").tobytes())]
+
+
+def test_only_one_piece_of_a_batch_is_python_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["x" * 500_000] * 40 + [None, "é日😀"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(42), "text": texts})
+    whole = [text or "" for text in texts]
+    sizes, seen = [], []
+    tracemalloc.start()
+    for part, found in common.pieces(batch):
+        sizes.append(part.num_rows)
+        seen += [part.column("doc_id").to_pylist(), [len(t) for t in found]]
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sizes == [3] * 14
+    assert sum(seen[1::2], []) == [len(t) for t in whole] and sum(seen[::2], []) == [*range(42)]
+    assert most < 8_000_000
+
+
+def test_memory_goes_back_when_a_task_has_freed_it(monkeypatch):
+    import weakref
+
+    held, gone = [], []
+
+    def run(batches):
+        kept = np.zeros(10)
+        held.append(weakref.ref(kept))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: gone.append(held[0]() is None))
+    assert list(common.freeing(run)(iter([1, 2]))) == [1, 2]
+    assert gone == [True]
+
+
+def test_stages_get_their_rows_in_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 4_000, 1, 1).selectExpr("id as doc_id", "repeat('x', 10000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    try:
+        for number in (0, 1, 2, 4):
+            spark.conf.set(name, before)
+            empty = spark.createDataFrame([], SCHEMA)
+            stage = corpus_pipeline.STAGES[number][1]
+            calls = {0: "keep_identified", 1: "keep_one_of_each", 2: "remove_contaminated", 4: "pack"}
+            module = {0: language, 1: jaccard, 2: decontaminate, 4: packing}[number]
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(module, calls[number], lambda *a: empty)
+                patch.setattr(corpus_pipeline, "table", lambda *a: None)
+                stage(spark, empty, "")
+            found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) >= 40_000_000 and max(found) < 9_000_000
+    finally:
+        spark.conf.set(name, before)
