@@ -303,6 +303,90 @@ def test_copies_go_by_row(spark):
     assert kept.count((9, "!!")) == 2 and (2, None) in kept and len(kept) == 6
 
 
+def near_copies(rng: random.Random, count: int, words: int = 300) -> list[str]:
+    base = [f"w{rng.randrange(5_000)}" for _ in range(words)]
+    texts = []
+    for _ in range(count):
+        some = list(base)
+        for _ in range(rng.randint(0, 4)):
+            some[rng.randrange(words)] = f"w{rng.randrange(5_000)}"
+        texts.append(" ".join(some))
+    return texts
+
+
+def test_sieve_lets_its_own_rows_through(spark, empty):
+    rows = spark.range(20_000).selectExpr("if(id = 7, null, id * 3) as doc_id", "cast(id as string) as key")
+    passes = common.sieve(rows, "doc_id", "key")
+    assert rows.where(passes("doc_id", "key")).count() == 20_000
+    others = spark.range(20_000).selectExpr("id * 3 + 1 as a", "cast(id as string) as b")
+    assert others.where(passes("a", "b")).count() < 1_000
+    assert spark.range(500).where(common.sieve(empty, "doc_id")("id")).count() == 0
+
+
+def test_differences_give_the_set_back():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+        head, runs = (np.sort(rng.choice(pool, rng.integers(1, 50), replace=False)) for _ in range(2))
+        back = jaccard.restored(head, jaccard.difference(head, runs))
+        assert np.array_equal(np.sort(back), runs)
+
+
+def test_blocks_of_a_large_group_get_differences(spark, monkeypatch):
+    texts = near_copies(random.Random(8), 200) + near_copies(random.Random(9), 3)
+    # One member of the large group has all of its runs and three times as many of its own.
+    rows = list(enumerate([*texts, texts[0] + "".join(f" x{i}" for i in range(60))]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, compare = [], jaccard._compare
+
+    def seen(pairs, threshold):
+        sent.append(pairs.selectExpr("sum(length(set))").first()[0])
+        return compare(pairs, threshold)
+
+    monkeypatch.setattr(jaccard, "_compare", seen)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(docs).collect())
+    assert got == brute(rows)
+    whole = sum(s.nbytes for s in jaccard.run_sets([text for _, text in rows]))
+    assert sent[0] < whole / 2  # whole sets went to each of four blocks before
+
+
+def moved_columns(frame) -> list[tuple[set[str], str]]:
+    """Columns that each exchange of the plan moves, with the plan below it."""
+    found, nodes = [], [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        below, out = node.children(), node.output()
+        nodes += [below.apply(i) for i in range(below.size())]
+        if node.nodeName() == "Exchange":
+            found.append(({out.apply(i).name() for i in range(out.size())}, node.toString()))
+    return found
+
+
+def test_texts_without_a_copy_do_not_move(spark, monkeypatch):
+    texts = near_copies(random.Random(8), 4) + [GOOD, GOOD.upper()] + [f"{i} " * 9 for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    landed, land = [], jaccard.land
+
+    def seen(frame, name):
+        landed.extend(moved_columns(frame))
+        return land(frame, name)
+
+    monkeypatch.setattr(jaccard, "land", seen)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        kept = jaccard.keep_one_of_each(docs)
+        assert landed and not any("text" in columns for columns, _ in landed)
+        moved = [below for columns, below in moved_columns(kept) if "text" in columns]
+        assert moved and all("subquery" in below.lower() for below in moved)
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 4, *range(6, 15)]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = dict(rows_of(components.components(spark.createDataFrame(links, "a long, b long"))))
